@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import BASE, NOTICES
 from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -40,4 +41,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN of USING (doc_id)"""
 
-ORACLES = {"op1_url_filter": url_filter(), "op5_decontamination": DECONTAMINATION}
+
+
+def license_scan() -> str:
+    """Every place of each template's key phrases; the IDF only says where to look first, not what is found."""
+
+    def texts(ws) -> str:
+        return "[" + ", ".join(f"'{w.decode()}'" for w in ws) + "]"
+
+    parts = []
+    for is_base, templates in ((True, BASE), (False, NOTICES)):
+        for t in templates:
+            at0, first = t.key_places[0]
+            keys = " AND ".join(f"w[i + {at - at0}:i + {at - at0 + len(k) - 1}] = {texts(k)}" for at, k in t.key_places)
+            share = " + ".join(f"CASE WHEN i + {j - at0} > 0 AND w[i + {j - at0}] = '{x.decode()}' THEN 1 ELSE 0 END" for j, x in enumerate(t.words))
+            parts.append(f"SELECT doc_id, '{t.label}' AS label, i - 1 - {at0} AS s, ({share}) / {len(t.words)} AS share, {is_base} AS is_base FROM spots WHERE x = '{first[0].decode()}' AND {keys}")
+    return f"""
+WITH docs AS (SELECT doc_id, coalesce({WORDS.format("text")}, CAST([] AS VARCHAR[])) AS w FROM documents),
+spots AS (SELECT doc_id, w, i, w[i] AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM docs)),
+m AS ({" UNION ALL ".join(parts)}),
+f AS (SELECT doc_id, count(*) FILTER (WHERE is_base) AS n_base, min(s) FILTER (WHERE is_base) AS first_word, max(s) FILTER (WHERE is_base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE is_base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM m GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN f USING (doc_id)"""
+
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLES = {"op3_license_scan": license_scan(), "op8_top_k": TOP_K, "op1_url_filter": url_filter(), "op5_decontamination": DECONTAMINATION}
