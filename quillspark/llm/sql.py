@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat_format import CONTROL
 from .license_scan import BASE, NOTICES
+from .line_dedup import PAGES, RATIO
 from .url_filter import RULES, SOFT, SOFT_LIMIT, STRICT
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,4 +75,34 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) A
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES = {"op3_license_scan": license_scan(), "op8_top_k": TOP_K, "op1_url_filter": url_filter(), "op5_decontamination": DECONTAMINATION}
+
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT r, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+often AS (SELECT source, trim(line) AS t, count(DISTINCT r) AS n FROM l WHERE trim(line) <> '' GROUP BY ALL),
+totals AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
+bad AS (SELECT o.source, t FROM often o JOIN totals s ON o.source IS NOT DISTINCT FROM s.source WHERE n >= {PAGES} AND n > {RATIO} * total),
+kept AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text, count(*) AS n FROM l
+    WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM l.source AND bad.t = trim(l.line)) GROUP BY r)
+SELECT doc_id, source, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS BIGINT) AS n_dropped
+FROM d LEFT JOIN kept USING (r)"""
+
+
+def chat_format() -> str:
+    def escaped(x: str) -> str:
+        x = f"replace({x}, '\\', '\\\\')"
+        for c in CONTROL:
+            x = f"replace({x}, '{c}', '{c[0]}\\{c[1:]}')"
+        return x
+
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(9 + length(replace({escaped("role")}, chr(10), '\\' || chr(10))) + length({escaped("text")})) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
+ORACLES = {"op4_line_dedup": LINE_DEDUP, "op9_chat_format": chat_format(), "op3_license_scan": license_scan(), "op8_top_k": TOP_K, "op1_url_filter": url_filter(), "op5_decontamination": DECONTAMINATION}
