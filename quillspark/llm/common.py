@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that Python code handles at once; keeps a worker's memory small whatever the Arrow batch size is.
@@ -55,22 +54,23 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
-    The folder comes from spark.checkpoint.dir. Only a local master without that setting, as in tests, gets a
-    temporary folder of its own.
+    Only a local master without that setting, as in tests, gets a temporary folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
-        shared = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return shared
 
 
-def null_safe(left: str, right: str):
-    return F.expr(f"{left} <=> {right}")
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; later jobs read its files."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
