@@ -71,7 +71,7 @@ class OrderedFrame:
 
     def tail(self, n: int) -> OrderedFrame:
         """A top-k from the other end: no full sort, nothing on the driver."""
-        return self.with_df((self.df.orderBy(*self.order(reverse=True)) if self.keys else self.df).limit(max(0, n)))
+        return replace(self, df=(self.df.orderBy(*self.order(reverse=True)) if self.keys else self.df).limit(max(0, n)), sorted=True)
 
     def visible(self) -> DataFrame:
         """The rows in no order, without the hidden columns."""

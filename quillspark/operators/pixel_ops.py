@@ -44,7 +44,7 @@ def from_array(spark: SparkSession, a: np.ndarray) -> PixelFrame:
     h, w, n = a.shape
     y, x = np.divmod(np.arange(h * w), w)
     pdf = pd.DataFrame({"img": np.zeros(h * w, np.int64), "x": x.astype(np.int32), "y": y.astype(np.int32), **{f"c{i}": a[:, :, i].ravel().astype(np.int32) for i in range(n)}})
-    return PixelFrame(spark.createDataFrame(pdf), w, h, {1: "L", 2: "La", 3: "Rgb", 4: "Rgba"}[n] + ("16" if a.dtype == np.uint16 else "8"))
+    return PixelFrame(spark.createDataFrame(pdf, "img long, x int, y int" + "".join(f", c{i} int" for i in range(n))), w, h, {1: "L", 2: "La", 3: "Rgb", 4: "Rgba"}[n] + ("16" if a.dtype == np.uint16 else "8"))
 
 
 def decoded(spark: SparkSession, data: bytes, form: str | None = None) -> PixelFrame:
@@ -280,7 +280,7 @@ def brighten(image: PixelFrame, value: int):
 def contrast(image: PixelFrame, value: float):
     """Colours farther from the middle, or nearer to it; alpha stays."""
     factor = ((100 + value) / 100) ** 2
-    return _colors(image, lambda c: _clamped(((c / float(image.top) - 0.5) * factor + 0.5) * image.top, image.top))
+    return _colors(image, lambda c: _clamped(((c / float(image.top) - 0.5) * factor + 0.5) * image.top + 1e-6, image.top))
 
 
 @img("huerot", Param("degrees", "int", low=-180, high=180))
@@ -307,7 +307,7 @@ def gamma(image: PixelFrame, value: float):
 
 @img("saturate", Param("factor", "float"))
 def saturate(image: PixelFrame, factor: float):
-    """Saturation times a factor, 1 at most; hues and values stay."""
+    """Saturation times a factor, 1 at most; values stay, and hues but those just below red, which turn to red."""
     if factor < 0:
         raise EngineError("argument", "a factor can't be negative")
     image = image.rgba()
@@ -326,7 +326,7 @@ def saturate(image: PixelFrame, factor: float):
         return out.otherwise(choices[5])
 
     out = (sector(c, x, zero, zero, x, c), sector(x, c, c, x, zero, zero), sector(zero, zero, x, c, c, x))
-    return image.map([*(F.floor((v + high - c) * 255 + 1e-9) for v in out), F.col("c3")])
+    return image.map([*(_clamped((v + high - c) * 255 + 1e-9, 255) for v in out), F.col("c3")])
 
 
 # Neighbourhoods

@@ -463,12 +463,12 @@ def _moved(x: str, y: str) -> str:
 image("gray", "gray", "SELECT l.img, l.x, l.y, l.c0, p.c3 AS c1 FROM l JOIN p USING (x, y)")
 image("invert", "invert", f"SELECT img, x, y, {_each('255 - @')} FROM p")
 image("brighten", "brighten-~30", f"SELECT img, x, y, {_each('greatest(0, least(255, @ - 30))')} FROM p")
-image("contrast", "contrast-25.0", f"SELECT img, x, y, {_each('floor(greatest(0.0, least(255.0, ((@ / 255.0::DOUBLE - 0.5::DOUBLE) * 1.5625::DOUBLE + 0.5::DOUBLE) * 255::DOUBLE)))')} FROM p")
+image("contrast", "contrast-25.0", f"SELECT img, x, y, {_each('floor(greatest(0.0, least(255.0, ((@ / 255.0::DOUBLE - 0.5::DOUBLE) * 1.5625::DOUBLE + 0.5::DOUBLE) * 255::DOUBLE + 1e-6::DOUBLE)))')} FROM p")
 image("gamma", "gamma-2.2", f"SELECT img, x, y, {_each('floor(pow(@ / 255.0::DOUBLE, 1 / 2.2::DOUBLE) * 255 + 1e-9::DOUBLE)')} FROM p")
 image("huerot", "huerot-90", "SELECT img, x, y, " + ", ".join(f"floor(greatest(0.0, least(255.0, {' + '.join(f'c{j} * ({w})::DOUBLE' for j, w in enumerate(row))} + 1e-9::DOUBLE)))::INTEGER AS c{i}" for i, row in enumerate([[0.213 - 0.213, 0.715 - 0.715, 0.072 + 0.928], [0.213 + 0.143, 0.715 + 0.140, 0.072 - 0.283], [0.213 - 0.787, 0.715 + 0.715, 0.072 + 0.072]])) + ", c3 FROM p")
 image(
     "saturate", "saturate-0.5",
-    "SELECT img, x, y, " + ", ".join(f"floor((CASE WHEN h < 1 THEN {a} WHEN h < 2 THEN {b} WHEN h < 3 THEN {c} WHEN h < 4 THEN {d} WHEN h < 5 THEN {e} ELSE {f} END + hi - c) * 255 + 1e-9::DOUBLE)::INTEGER AS c{i}" for i, (a, b, c, d, e, f) in enumerate((("c", "t", "0", "0", "t", "c"), ("t", "c", "c", "t", "0", "0"), ("0", "0", "t", "c", "c", "t")))) + ", c3 FROM s3",
+    "SELECT img, x, y, " + ", ".join(f"greatest(0, floor((CASE WHEN h < 1 THEN {a} WHEN h < 2 THEN {b} WHEN h < 3 THEN {c} WHEN h < 4 THEN {d} WHEN h < 5 THEN {e} ELSE {f} END + hi - c) * 255 + 1e-9::DOUBLE))::INTEGER AS c{i}" for i, (a, b, c, d, e, f) in enumerate((("c", "t", "0", "0", "t", "c"), ("t", "c", "c", "t", "0", "0"), ("0", "0", "t", "c", "c", "t")))) + ", c3 FROM s3",
     """s1 AS (SELECT *, c0 / 255.0::DOUBLE AS r, c1 / 255.0::DOUBLE AS g, c2 / 255.0::DOUBLE AS b, greatest(c0, c1, c2) / 255.0::DOUBLE AS hi, least(c0, c1, c2) / 255.0::DOUBLE AS lo FROM p),
 s2 AS (SELECT *, CASE WHEN hi = lo THEN 0 WHEN hi = r THEN (g - b) / (hi - lo) WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END AS h, CASE WHEN hi = 0 THEN 0 ELSE hi * least((hi - lo) / hi * 0.5::DOUBLE, 1) END AS c FROM s1),
 s3 AS (SELECT *, c * (1 - abs((h - 2 * trunc(h / 2)) - 1)) AS t FROM s2)""",
