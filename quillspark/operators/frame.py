@@ -6,6 +6,7 @@ Its columns are hidden; Catalyst prunes them from scans where nothing asks for t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,11 +19,16 @@ HIDDEN = "__q"
 
 @dataclass(frozen=True)
 class OrderedFrame:
-    """keys: hidden columns in order, each with its direction; nulls come first in either. sorted: by a sort command."""
+    """keys: hidden columns in order, each with its direction; nulls come first in either. sorted: by a sort command.
+
+    plain has the same rows without hidden columns, until an operation depends on positions. What needs no order is
+    made from it, as a scan that was once asked for row numbers reads them even if nothing uses them.
+    """
 
     df: DataFrame
     keys: tuple[tuple[str, bool], ...] = ()
     sorted: bool = False
+    plain: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -49,10 +55,15 @@ class OrderedFrame:
         self.check(*names)
         if len(set(names)) < len(names):
             raise EngineError("argument", f"a column is named twice: {', '.join(names)}")
-        return replace(self, df=self.df.select(*map(column, (*names, *self.hidden))))
+        plain = None if self.plain is None else self.plain.select(*map(column, names))
+        return replace(self, df=self.df.select(*map(column, (*names, *self.hidden))), plain=plain)
+
+    def apply(self, f: Callable[[DataFrame], DataFrame]) -> OrderedFrame:
+        """f of the rows, one that needs no order and keeps hidden columns."""
+        return replace(self, df=f(self.df), plain=None if self.plain is None else f(self.plain))
 
     def with_df(self, df: DataFrame) -> OrderedFrame:
-        return replace(self, df=df)
+        return replace(self, df=df, plain=None)
 
     def order(self, reverse: bool = False) -> list[Column]:
         return [(F.asc_nulls_first(c) if up else F.desc_nulls_first(c)) if not reverse else (F.desc_nulls_last(c) if up else F.asc_nulls_last(c)) for c, up in self.keys]
@@ -60,7 +71,7 @@ class OrderedFrame:
     def sort(self, by: Column, ascending: bool) -> OrderedFrame:
         """Rows with equal keys stay in the order that they had."""
         key = f"{HIDDEN}s{len(self.hidden)}"
-        return OrderedFrame(self.df.withColumn(key, by), ((key, ascending), *self.keys), True)
+        return OrderedFrame(self.df.withColumn(key, by), ((key, ascending), *self.keys), True, self.plain)
 
     def head(self, n: int) -> OrderedFrame:
         return self.slice(0, n)
@@ -71,15 +82,15 @@ class OrderedFrame:
 
     def tail(self, n: int) -> OrderedFrame:
         """A top-k from the other end: no full sort, nothing on the driver."""
-        return replace(self, df=(self.df.orderBy(*self.order(reverse=True)) if self.keys else self.df).limit(max(0, n)), sorted=True)
+        return replace(self, df=(self.df.orderBy(*self.order(reverse=True)) if self.keys else self.df).limit(max(0, n)), sorted=True, plain=None)
 
     def visible(self) -> DataFrame:
         """The rows in no order, without the hidden columns."""
-        return self.df.select(*map(column, self.columns))
+        return (self.df if self.plain is None else self.plain).select(*map(column, self.columns))
 
     def result(self) -> DataFrame:
         """The rows; in order, if a sort or a position asked for one."""
-        return (self.df.orderBy(*self.order()) if self.sorted and self.keys else self.df).select(*map(column, self.columns))
+        return self.df.orderBy(*self.order()).select(*map(column, self.columns)) if self.sorted and self.keys else self.visible()
 
 
 def column(name: str) -> Column:
@@ -89,12 +100,12 @@ def column(name: str) -> Column:
 def from_files(df: DataFrame) -> OrderedFrame:
     """A scan of Parquet files in the order of their rows: by file, then by row."""
     ord_ = df.select("*", F.col("_metadata.file_path").alias(f"{HIDDEN}f"), F.col("_metadata.row_index").alias(f"{HIDDEN}r"))
-    return OrderedFrame(ord_, ((f"{HIDDEN}f", True), (f"{HIDDEN}r", True)))
+    return OrderedFrame(ord_, ((f"{HIDDEN}f", True), (f"{HIDDEN}r", True)), plain=df)
 
 
 def from_scan(df: DataFrame) -> OrderedFrame:
     """Any other scan, whose rows are numbered in the order of its partitions."""
-    return OrderedFrame(df.select("*", F.monotonically_increasing_id().alias(f"{HIDDEN}r")), ((f"{HIDDEN}r", True),))
+    return OrderedFrame(df.select("*", F.monotonically_increasing_id().alias(f"{HIDDEN}r")), ((f"{HIDDEN}r", True),), plain=df)
 
 
 def from_rows(spark: SparkSession, rows: list, schema) -> OrderedFrame:

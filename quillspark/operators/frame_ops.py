@@ -64,7 +64,8 @@ def drop_columns(frame: OrderedFrame, parts: list[str]):
 
 def _comparison(name: str, compare, doc: str) -> None:
     def run(frame: OrderedFrame, name_: str, value: str):
-        return frame.with_df(frame.df.filter(compare(frame.col(name_), literal(value, frame.type_of(name_)))))
+        test = compare(frame.col(name_), literal(value, frame.type_of(name_)))
+        return frame.apply(lambda df: df.filter(test))
 
     run.__doc__ = f"Rows whose column is {doc} the value; rows with a null in it go."
     pl(name, Param("column"), Param("value"))(run)
@@ -156,13 +157,13 @@ def describe(frame: OrderedFrame):
 @pl("shape")
 def shape(frame: OrderedFrame):
     """Numbers of columns and rows."""
-    return from_scan(frame.df.agg(F.count(F.lit(1)).alias("nrows")).select(F.lit(len(frame.columns)).cast("bigint").alias("ncols"), "nrows"))
+    return from_scan(frame.visible().agg(F.count(F.lit(1)).alias("nrows")).select(F.lit(len(frame.columns)).cast("bigint").alias("ncols"), "nrows"))
 
 
 @pl("nrows")
 def nrows(frame: OrderedFrame):
     """The number of rows."""
-    return from_scan(frame.df.agg(F.count(F.lit(1)).alias("nrows")))
+    return from_scan(frame.visible().agg(F.count(F.lit(1)).alias("nrows")))
 
 
 @pl("ncols")
@@ -183,7 +184,7 @@ def schema(frame: OrderedFrame):
 
 def _words(name: str, test: str, doc: str) -> None:
     def run(frame: OrderedFrame, name_: str, value: str):
-        return frame.with_df(frame.df.filter(getattr(frame.col(name_).cast("string"), test)(F.lit(value))))
+        return frame.apply(lambda df: df.filter(getattr(frame.col(name_).cast("string"), test)(F.lit(value))))
 
     run.__doc__ = doc
     pl(name, Param("column"), Param("value"))(run)
@@ -197,18 +198,18 @@ _words("endswith", "endswith", "Rows whose column ends with the text.")
 @pl("isnull", Param("column"))
 def isnull(frame: OrderedFrame, name: str):
     """Rows with a null in the column."""
-    return frame.with_df(frame.df.filter(frame.col(name).isNull()))
+    return frame.apply(lambda df: df.filter(frame.col(name).isNull()))
 
 
 @pl("notnull", Param("column"))
 def notnull(frame: OrderedFrame, name: str):
     """Rows without a null in the column."""
-    return frame.with_df(frame.df.filter(frame.col(name).isNotNull()))
+    return frame.apply(lambda df: df.filter(frame.col(name).isNotNull()))
 
 
 def _extreme_rows(frame: OrderedFrame, name: str, f) -> OrderedFrame:
-    best = frame.df.agg(f(frame.col(name)).alias("__qbest"))
-    return frame.with_df(frame.df.join(F.broadcast(best), frame.col(name) == F.col("__qbest"), "left_semi"))  # one row is broadcast
+    best = frame.visible().agg(f(frame.col(name)).alias("__qbest"))
+    return frame.apply(lambda df: df.join(F.broadcast(best), frame.col(name) == F.col("__qbest"), "left_semi"))  # one row is broadcast
 
 
 @pl("min_rows", Param("column"))
@@ -226,7 +227,7 @@ def max_rows(frame: OrderedFrame, name: str):
 @pl("sample", Param("percent", "float"), Param("seed", "int", 42))
 def sample(frame: OrderedFrame, percent: float, seed: int):
     """About so many percent of the rows."""
-    return frame.with_df(frame.df.sample(fraction=min(1.0, max(0.0, percent / 100)), seed=seed))
+    return frame.apply(lambda df: df.sample(fraction=min(1.0, max(0.0, percent / 100)), seed=seed))
 
 
 @pl("shuffle", Param("seed", "int", 42))
@@ -251,26 +252,26 @@ def unique(frame: OrderedFrame, parts: list[str]):
 @pl("explode", Param("column"))
 def explode(frame: OrderedFrame, name: str):
     """A row for each item of an array column."""
-    return frame.with_df(frame.df.withColumn(name, F.explode_outer(frame.col(name))))
+    return frame.apply(lambda df: df.withColumn(name, F.explode_outer(frame.col(name))))
 
 
 @pl("rename", Param("column"), Param("to"))
 def rename(frame: OrderedFrame, name: str, to: str):
     """A column by another name."""
     frame.check(name)
-    return frame.with_df(frame.df.withColumnRenamed(name, to))
+    return frame.apply(lambda df: df.withColumnRenamed(name, to))
 
 
 @pl("cast", Param("column"), Param("type"))
 def cast(frame: OrderedFrame, name: str, kind: str):
     """A column as another type; values that don't fit become null."""
-    return frame.with_df(frame.df.withColumn(name, frame.col(name).try_cast(kind)))
+    return frame.apply(lambda df: df.withColumn(name, frame.col(name).try_cast(kind)))
 
 
 @pl("fill_null", Param("column"), Param("value"))
 def fill_null(frame: OrderedFrame, name: str, value: str):
     """A value in place of a column's nulls."""
-    return frame.with_df(frame.df.withColumn(name, F.coalesce(frame.col(name), literal(value, frame.type_of(name)))))
+    return frame.apply(lambda df: df.withColumn(name, F.coalesce(frame.col(name), literal(value, frame.type_of(name)))))
 
 
 @pl("drop_nulls", Param("columns", multiple=True))
@@ -278,7 +279,7 @@ def drop_nulls(frame: OrderedFrame, parts: list[str]):
     """Rows without a null in the named columns, or in any."""
     names = _names(parts) if parts else frame.columns
     frame.check(*names)
-    return frame.with_df(frame.df.dropna(subset=names))
+    return frame.apply(lambda df: df.dropna(subset=names))
 
 
 @pl("join", Param("other", "any"), Param("left_on"), Param("right_on", default=""), Param("how", "enum", "inner", {h: h for h in ("inner", "left", "semi", "anti")}))
@@ -289,7 +290,7 @@ def join(frame: OrderedFrame, other, left_on: str, right_on: str, how: str):
     right_on = right_on or left_on
     right: DataFrame = other.visible().select(other.col(right_on).alias("__qkey"), *(other.col(c).alias(f"{c}_right" if c in frame.columns else c) for c in other.columns if c != right_on))
     how = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
-    return frame.with_df(frame.df.join(right, frame.col(left_on) == F.col("__qkey"), how).drop("__qkey"))
+    return frame.apply(lambda df: df.join(right, frame.col(left_on) == F.col("__qkey"), how).drop("__qkey"))
 
 
 @pl("group_by", Param("columns"), Param("aggregate", "enum", "count", {a: a for a in ("count", "sum", "mean", "min", "max")}), Param("column", default=""))
