@@ -21,8 +21,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, map_slices
 
-#: Pieces (and pairs of tokens) that a worker remembers; it starts over beyond that. A memory bound only.
-REMEMBER = 300_000
+#: Pieces, pairs of tokens and pieces' first bytes that a worker remembers, some 150 MB in all; it starts over beyond
+#: that. A memory bound only.
+PIECES, PAIRS, HEADS = 400_000, 400_000, 100_000
 #: Tables of pieces' first bytes are remembered up to this length; longer pieces go on from there.
 HEAD = 8
 
@@ -94,7 +95,7 @@ class PrefixBpe:
         """Whether no merge across the seam of two tokens comes before the merges on both sides are done."""
         key = left << 32 | right
         if (known := self._pairs.get(key)) is None:
-            if len(self._pairs) > 4 * REMEMBER:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             known = self._pairs[key] = self._apart(self.edges(left)[1], self.edges(right)[0])
         return known
@@ -169,7 +170,7 @@ class PrefixBpe:
     def _head(self, head: bytes) -> list[int]:
         """The table of a piece's first bytes, which many pieces share."""
         if (known := self._heads.get(head)) is None:
-            if len(self._heads) > REMEMBER:
+            if len(self._heads) > HEADS:
                 self._heads.clear()
             known = self._heads[head] = self.table(head, list(self._head(head[: HEAD // 2])) if len(head) > HEAD // 2 else None)
         return known
@@ -185,7 +186,7 @@ class _Pieces(dict):
         self.bpe = bpe
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > 2 * REMEMBER:
+        if len(self) > PIECES:
             self.clear()
         ids = self.bpe.encode(piece.encode())
         out = b"".join([i.to_bytes(4, "little") for i in ids])
