@@ -23,12 +23,12 @@ from .simhash import RADIUS, _groups, fingerprint, hashes, linked, shards, shing
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FINGERPRINTS = 4
+FINGERPRINTS = 6
 #: Bins of a signature. Its estimate errs by 0.04 or so; pairs under SIMILARITY less MARGIN aren't verified.
-BINS, MARGIN = 128, 0.15
+BINS, MARGIN = 128, 0.1
 #: In a shard, groups of up to so many texts propose all their pairs within the radius; in larger ones each text is
-#: paired with its group's middle and with its nearest NEAREST texts.
-ALL_PAIRS, NEAREST = 32, 8
+#: paired with its group's middle and with its NEAREST nearest texts. A text is in 30 shards at least.
+ALL_PAIRS, NEAREST = 8, 3
 #: Rows of a checked size up to which the list of removed documents is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 100_000
 
