@@ -28,6 +28,8 @@ SHARD = 4096
 DEPTH = 3
 #: Fingerprints in a leaf of a BK-tree, which are all compared.
 LEAF = 64
+#: More than the kinds of shards that there are.
+_KINDS = 1_000_000
 
 
 def hashes(ws: list[bytes], width: int, seed: int = SEED) -> np.ndarray:
@@ -171,20 +173,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield held
 
 
-def shards(prints: DataFrame, radius: int, shard: int = SHARD, depth: int = DEPTH) -> DataFrame:
-    """(kind, value, all of prints' columns): rows of each shard; large shards are dealt again by more bits."""
+def shards(prints: DataFrame, radius: int, shard: int = SHARD, depth: int = DEPTH, apart: str | None = None) -> DataFrame:
+    """(kind, value, all of prints' columns): rows of each shard; large shards are dealt again by more bits.
+
+    apart: a column of small integers; rows with different ones share no shard.
+    """
     out, todo = None, None
     kinds: dict[str, int] = {}
+    own = F.col(apart).cast("int") * _KINDS if apart else F.lit(0)
     for level in range(1, depth + 1):
         now = masks(radius, level)
         start = len(kinds)
         kinds |= {k: start + i for i, k in enumerate(now)}
-        dealt = F.array(*(F.struct(F.lit(kinds[k]).alias("kind"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in now.items()))
+        dealt = F.array(*(F.struct((F.lit(kinds[k]) + own).alias("kind"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("value")) for k, m in now.items()))
         if todo is None:
             rows = prints.select("*", F.explode(dealt).alias("s"))
         else:
             parent = F.create_map(*(x for k, n in kinds.items() if len(k) == level for x in (F.lit(n), F.lit(kinds[k[:-1]]))))
-            rows = todo.select(*(c for c in prints.columns), "kind", F.explode(dealt).alias("s")).filter(parent[F.col("s.kind")] == F.col("kind"))
+            rows = todo.select(*prints.columns, "kind", F.explode(dealt).alias("s")).filter(parent[F.col("s.kind") % _KINDS] == F.col("kind") % _KINDS)
         rows = rows.select("s.kind", "s.value", *prints.columns)
         if level < depth:
             large = materialize(rows.groupBy("kind", "value").count().filter(F.col("count") > shard).drop("count"))

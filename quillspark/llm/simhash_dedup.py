@@ -117,11 +117,9 @@ def _proposed(texts: DataFrame, radius: int) -> DataFrame:
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    out = None
-    for i in range(FINGERPRINTS):
-        dealt = shards(texts.select(F.col(f"f{i}").alias("fp"), "n"), radius)
-        found = dealt.repartition("kind", "value").sortWithinPartitions("kind", "value", "fp").mapInArrow(run, "u long, v long")
-        out = found if out is None else out.unionByName(found)
+    each = texts.select(F.posexplode(F.array(*(f"f{i}" for i in range(FINGERPRINTS)))).alias("which", "fp"), "n")
+    dealt = shards(each, radius, apart="which").select("kind", "value", "fp", "n")
+    out = dealt.repartition("kind", "value").sortWithinPartitions("kind", "value", "fp").mapInArrow(run, "u long, v long")
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
@@ -142,6 +140,11 @@ def _estimated(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, j double")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The texts that pairs name, each side summed up before they are put together."""
+    return pairs.select(F.col("u").alias("n")).distinct().unionByName(pairs.select(F.col("v").alias("n")).distinct()).distinct()
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of the pairs whose whole texts are similar enough. whole: n, text."""
 
@@ -161,7 +164,7 @@ def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFram
 
         return one
 
-    needed = whole.join(pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct(), "n", "left_semi").select("n", "text")
+    needed = whole.join(_ends(pairs), "n", "left_semi").select("n", "text")
     both = pairs.select("u", "v").join(needed.select(F.col("n").alias("u"), F.col("text").alias("a")), "u").join(needed.select(F.col("n").alias("v"), F.col("text").alias("b")), "v")
     return map_slices(both.select("u", "v", "a", "b"), start, "u long, v long")
 
@@ -178,25 +181,30 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     maybe = materialize(_estimated(_proposed(texts, radius), texts, similarity - MARGIN))
     whole = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     whole = _one_of_each(whole, maybe)
-    # First the two most promising pairs of each text ...
-    best = Window.partitionBy("n").orderBy(F.desc("j"), "u", "v")
-    sides = maybe.select("*", F.explode(F.array("u", "v")).alias("n")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2)
-    first = materialize(_verified(sides.select("u", "v").distinct(), whole, similarity))
+    # First the two most promising pairs of each text, as the first one of a pair and as the second ...
+    chosen = None
+    for end in ("u", "v"):
+        best = Window.partitionBy(end).orderBy(F.desc("j"), "u", "v")
+        of = maybe.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2).select("u", "v")
+        chosen = of if chosen is None else chosen.unionByName(of)
+    chosen = materialize(chosen.distinct())
+    first = materialize(_verified(chosen, whole, similarity))
     roots = materialize(components(first))
     # ... then all those whose ends these haven't linked.
     a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v"))
-    open_ = maybe.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(sides.select("u", "v").distinct(), ["u", "v"], "left_anti")
+    open_ = maybe.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(chosen, ["u", "v"], "left_anti")
     second = _verified(materialize(open_), whole, similarity)
     roots = components(first.unionByName(second))
     rows = slim.select("doc_id", "t", number.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = materialize(rows.select("doc_id", "t", "root"))
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))).alias("k"))
+    # Checkpointed, so that both sides of the join are dealt anew and a large group's rows can be split.
+    kept = materialize(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))).alias("k")))
     return rows.join(kept, "root").select("doc_id", "t", F.col("k.doc_id").alias("kept_id"), F.col("k.t").alias("kept_t"))
 
 
 def _one_of_each(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """(n, text), one row for each text that a pair names, checkpointed: few texts are near another one."""
-    named = pairs.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    named = materialize(_ends(pairs))
     numbered = texts.select(F.xxhash64(_identity(F.col("text"))).alias("n"), "text")
     small = named.count() <= BROADCAST_ROWS
     joined = numbered.join(F.broadcast(named) if small else named, "n", "left_semi")
