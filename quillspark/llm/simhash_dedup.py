@@ -1,10 +1,11 @@
-"""Removal of near-duplicate documents: SimHash proposes pairs, the Jaccard similarity of word shingles decides.
+"""Removal of near-duplicate documents: SimHash and MinHash propose pairs, the Jaccard similarity of shingles decides.
 
 Documents are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or more, over further
-documents too; the one with the smallest id of each group stays. Pairs are proposed by several SimHash fingerprints of
-a document's set of words, in shards with BK-trees; one changed word moves such a fingerprint far less than one of
-shingles. Of the texts that differ, each pair that is proposed is either verified on the whole texts or lies between
-documents that verified pairs have linked already. A coarse estimate from small MinHash signatures comes first.
+documents too; the one with the smallest id of each group stays. A first pass links most of them cheaply: several
+SimHash fingerprints of a document's set of words propose pairs, in shards with BK-trees, and the most promising ones
+by small MinHash signatures are verified. It need not be whole. The second pass is: texts share a bucket if a band of
+MinHashes of their shingles is equal, and of each bucket every pair of texts is either verified on the whole texts, is
+ruled out by an exact bound of its similarity, or lies between texts that verified pairs have linked already.
 """
 
 from __future__ import annotations
@@ -24,11 +25,19 @@ from .simhash import RADIUS, _groups, fingerprint, hashes, linked, shards, shing
 SHINGLE = 5
 SIMILARITY = 0.8
 FINGERPRINTS = 6
-#: Bins of a signature. Its estimate errs by 0.04 or so; pairs under SIMILARITY less MARGIN aren't verified.
+#: Bands of ROWS MinHashes. Texts of similarity 0.8 share no band in 7 of 10^10 cases, whatever the edit between them.
+BANDS, ROWS = 40, 4
+#: Pairs that a bucket proposes for each of its texts in the first round; in each further one GROWTH times as many.
+PAIRS, GROWTH = 4, 4
+#: Longs of a text's parities: bits that say of which hashes modulo 64 * PARITIES its shingles have an odd number.
+PARITIES = 4
+#: Bins of a signature. Its estimate errs by 0.04 or so; the first pass skips pairs under SIMILARITY less MARGIN.
 BINS, MARGIN = 128, 0.1
-#: In a shard, groups of up to so many texts propose all their pairs within the radius; in larger ones each text is
-#: paired with its group's middle and with its NEAREST nearest texts. A text is in 30 shards at least.
+#: In a shard of the first pass, groups of up to so many texts propose all their pairs within the radius; in larger ones
+#: each text is paired with its group's middle and with its NEAREST nearest texts. A text is in 30 shards at least.
 ALL_PAIRS, NEAREST = 8, 3
+#: What is known of a text wherever it goes: its number of shingles and its parities.
+FACTS = ["size", *(f"p{i}" for i in range(PARITIES))]
 #: Rows of a checked size up to which the list of removed documents is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 100_000
 
@@ -48,27 +57,53 @@ def signature(h: np.ndarray, bins: int = BINS) -> bytes:
     return np.where(out == 1 << 32, 0, 1 + out % np.uint64(65535)).astype(np.uint16).tobytes()
 
 
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(8).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+
+
+def bands(h: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of its number and of the least of the hashes under each of its multipliers."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(h), 256):
+        np.minimum(least, (h[at : at + 256, None] * multipliers).min(0), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = _mixed(out ^ row, 1)
+    return out.view(np.int64)
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Two sets of distinct hashes differ in as many as their parities have different bits, or in more."""
+    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _identity(text: Column) -> Column:
     """The name of a text, the same for equal ones; null counts as empty."""
     return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _sketches(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: id, two hashes of the text (its identity), fingerprints, signature."""
+    """Per row: id, the text's hash (its identity), fingerprints, signature, keys of bands, number of shingles, parities."""
     given = df.select(F.col(doc_id).alias("doc_id"), _identity(F.col(text)).alias("t"), F.col(text).alias("text"))
     prints = [T.StructField(f"f{i}", T.LongType()) for i in range(FINGERPRINTS)]
-    schema = T.StructType([*given.schema.fields[:2], *prints, T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([*given.schema.fields[:2], *prints, T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in FACTS)])
 
     def start():
+        multipliers = _multipliers()
+
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, sigs = [], []
+            found, sigs, keys, facts = [], [], [], []
             for x in raw(batch.column(2)):
                 ws = shingle_words(x)
                 own = hashes(sorted(set(ws)), 1)
                 found.append([fingerprint(_mixed(own, i)) for i in range(FINGERPRINTS)])
-                sigs.append(signature(hashes(ws, SHINGLE)))
+                of = np.unique(hashes(ws, SHINGLE))
+                sigs.append(signature(of))
+                keys.append(bands(of, multipliers))
+                facts.append([len(of), *parities(of).tolist()])
             columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(FINGERPRINTS)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sigs, pa.binary())], names=schema.names)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([x[i] for x in facts], pa.int64()) for i in range(len(FACTS)))], names=schema.names)
 
         return one
 
@@ -145,6 +180,50 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("n")).distinct().unionByName(pairs.select(F.col("v").alias("n")).distinct()).distinct()
 
 
+def _bucketed(members: DataFrame, similarity: float, pairs: int) -> DataFrame:
+    """(key, u, v): with a null key, pairs of texts to compare; else texts u of buckets that have more of them.
+
+    members: key, n, root, FACTS. Pairs of one root need no look, nor do those whose sizes and parities rule the
+    similarity out. One after another, texts outside a bucket's largest group are paired with all others and leave it,
+    until it has `pairs` for each of its rows; a bucket ends when what is left of it is of one root.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for key, _, n, root, size, *bits in _groups(batches):
+            kinds, of, counts = np.unique(root, return_inverse=True, return_counts=True)
+            if len(kinds) == 1:
+                continue
+            bits, left, found = np.stack(bits, 1).view(np.uint64), np.ones(len(n), bool), 0
+            for c in np.flatnonzero(of != counts.argmax()).tolist():
+                if found >= pairs * len(n):
+                    break
+                left[c] = False
+                like = np.flatnonzero(left & (of != of[c]))
+                both = size[like] + size[c]
+                most = np.minimum((both - np.bitwise_count(bits[like] ^ bits[c]).sum(1, dtype=np.int64)) // 2, np.minimum(size[like], size[c]))
+                like = like[most >= similarity * (both - most)]
+                if len(like):
+                    out.append((np.zeros(len(like), bool), np.zeros(len(like), np.int64), np.minimum(n[like], n[c]), np.maximum(n[like], n[c])))
+                    found += len(like)
+            if (of[left] != of[left][0]).any():
+                out.append((np.ones(int(left.sum()), bool), key[left], n[left], n[left]))
+                found += len(n)
+            held += found
+            if held > 1 << 16:
+                yield made(out)
+                out, held = [], 0
+        if out:
+            yield made(out)
+
+    def made(parts: list) -> pa.RecordBatch:
+        on, key, u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(key, mask=~on), pa.array(u), pa.array(v)], names=["key", "u", "v"])
+
+    dealt = members.repartition("key").sortWithinPartitions("key", "n")
+    return dealt.select("key", F.col("key").alias("again"), "n", F.coalesce("root", "n").alias("root"), *FACTS).mapInArrow(run, "key long, u long, v long")
+
+
 def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of the pairs whose whole texts are similar enough. whole: n, text."""
 
@@ -177,24 +256,33 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     """
     slim = materialize(_sketches(df, doc_id, text))
     number = F.xxhash64("t")
-    texts = materialize(slim.groupBy("t").agg(*(F.first(f"f{i}").alias(f"f{i}") for i in range(FINGERPRINTS)), F.first("sig").alias("sig")).withColumn("n", number))
+    own = [*(f"f{i}" for i in range(FINGERPRINTS)), "sig", "keys", *FACTS]
+    texts = materialize(slim.groupBy("t").agg(*(F.first(c).alias(c) for c in own)).withColumn("n", number))
+    slim = slim.select("doc_id", "t")
     maybe = materialize(_estimated(_proposed(texts, radius), texts, similarity - MARGIN))
     whole = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = _one_of_each(whole, maybe)
     # First the two most promising pairs of each text, as the first one of a pair and as the second ...
     chosen = None
     for end in ("u", "v"):
         best = Window.partitionBy(end).orderBy(F.desc("j"), "u", "v")
         of = maybe.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2).select("u", "v")
         chosen = of if chosen is None else chosen.unionByName(of)
-    chosen = materialize(chosen.distinct())
-    first = materialize(_verified(chosen, whole, similarity))
-    roots = materialize(components(first))
-    # ... then all those whose ends these haven't linked.
-    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v"))
-    open_ = maybe.join(a, "u", "left").join(b, "v", "left").filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(chosen, ["u", "v"], "left_anti")
-    second = _verified(materialize(open_), whole, similarity)
-    roots = components(first.unionByName(second))
+    compared = materialize(chosen.distinct())
+    roots = materialize(components(_verified(compared, _one_of_each(whole, compared), similarity)))
+    # ... then, in each bucket, all those whose ends these haven't linked.
+    members, pairs = None, PAIRS
+    while True:
+        rooted = texts.join(roots.withColumnRenamed("node", "n"), "n", "left").select("n", "root", "keys", *FACTS)
+        rooted = rooted.withColumn("key", F.explode("keys")).drop("keys") if members is None else members.join(rooted.drop("keys"), "n")
+        out = materialize(_bucketed(rooted, similarity, pairs))
+        open_ = materialize(out.filter(F.col("key").isNull()).select("u", "v").distinct().join(compared, ["u", "v"], "left_anti"))
+        if not open_.isEmpty():
+            found = _verified(open_, _one_of_each(whole, open_), similarity)
+            roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)))
+            compared = compared.unionByName(open_)
+        members, pairs = out.filter(F.col("key").isNotNull()).select("key", F.col("u").alias("n")), pairs * GROWTH
+        if members.isEmpty():
+            break
     rows = slim.select("doc_id", "t", number.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = materialize(rows.select("doc_id", "t", "root"))
     # Checkpointed, so that both sides of the join are dealt anew and a large group's rows can be split.

@@ -288,6 +288,47 @@ def test_near_dedup(spark, odd):
     assert simhash_dedup.without_near_duplicates(odd.limit(0)).count() == 0
 
 
+def brute_near(texts, similarity=0.8):
+    """The first index of each text's group."""
+    sets = [set(simhash.hashes(simhash.shingle_words(t.encode()), 5).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for j, i in itertools.product(range(len(texts)), repeat=2):
+        both = len(sets[i] & sets[j])
+        if i < j and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((group[i], group[j]))
+            group = [a if x == b else x for x in group]
+    return group
+
+
+def test_near_dedup_in_dense_groups(spark):
+    """All texts have the same set of words, so that fingerprints of it tell nothing."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    originals = [[*vocabulary, *(r.choice(vocabulary) for _ in range(200))] for _ in range(60)]
+    texts = [" ".join(o) for o in originals] + [" ".join([*o[:150], "w1 w2 w3", *o[151:]]) for o in originals]
+    want = brute_near(texts)
+    assert len(set(want)) == 60
+    assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == set(want)
+
+
+def test_near_dedup_compares_all_of_a_bucket(spark):
+    """Texts of one bucket, in rounds: each pair of two roots once, unless sizes or parities rule it out."""
+    size, root, p3 = np.r_[np.full(80, 100), np.full(10, 70)], np.r_[np.zeros(50, int), np.arange(50, 90)], np.r_[np.zeros(70, int), np.full(20, (1 << 30) - 1)]
+    columns = "key long, n long, root long, " + ", ".join(f"{c} long" for c in simhash_dedup.FACTS)
+    left, pairs, many, rounds = range(90), [], 1, 0
+    while left:
+        rows = [(7, i, int(root[i]), int(size[i]), 0, 0, 0, int(p3[i])) for i in left]
+        got = simhash_dedup._bucketed(spark.createDataFrame(rows, columns), 0.8, many).collect()
+        pairs += [(x.u, x.v) for x in got if x.key is None]
+        left, many, rounds = [x.u for x in got if x.key is not None], many * 4, rounds + 1
+    assert rounds > 1 and sorted(pairs) == [(i, j) for i in range(90) for j in range(i + 1, 90) if root[i] != root[j] and size[i] == size[j] and p3[i] == p3[j]]
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 50, 2000):
+        h = rng.integers(0, 1 << 63, 2 * n + 1, np.uint64)
+        a, b = h[: n + n // 2], h[n // 2 :]
+        assert np.bitwise_count((simhash_dedup.parities(a) ^ simhash_dedup.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
+
+
 # Exact top-k
 
 
