@@ -311,6 +311,20 @@ def test_near_dedup_in_dense_groups(spark):
     assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == set(want)
 
 
+def test_near_dedup_of_contiguous_edits(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(60):
+        o = [word() for _ in range(r.choice((150, 200, 600)))]
+        k = int(len(o) * 0.18)
+        more, at = [word() for _ in range(k)], r.randrange(len(o) - k)
+        texts += [" ".join(x) for x in (o, o + more, o[: len(o) - k], more + o, o[:at] + more[: k // 3] + o[at + k // 3 :])]
+    want = brute_near(texts)
+    assert len(set(want)) == 60
+    assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == set(want)
+
+
 def test_near_dedup_compares_all_of_a_bucket(spark):
     """Texts of one bucket, in rounds: each pair of two roots once, unless sizes or parities rule it out."""
     size, root, p3 = np.r_[np.full(80, 100), np.full(10, 70)], np.r_[np.zeros(50, int), np.arange(50, 90)], np.r_[np.zeros(70, int), np.full(20, (1 << 30) - 1)]
