@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, language_id, line_dedup, simhash_dedup
-from quillspark.llm.common import shared_folder, table
+from quillspark.llm.common import free_name, shared_folder, table
 from quillspark.llm.queries import vocabulary_file
 
 #: Stages work on hashes and whole texts in ways that SQL can't express (a fitted model, SimHash, BPE).
@@ -38,8 +38,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the token ids and their count."""
-    return bpe.with_tokens(docs, *vocabulary_file())
+    """Adds the token ids, their count and the digest of what they decode to, which must be the text."""
+    coded = bpe.with_tokens(docs, *vocabulary_file(), decoded="decoded")
+    decoded = F.col(f"`{coded.columns[-1]}`")
+    same = decoded == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    digest = F.when(same, F.sha2(decoded, 256)).otherwise(F.raise_error(F.lit("token ids don't decode to their text")))
+    return coded.select(*(f"`{c}`" for c in coded.columns[:-1]), digest.alias(free_name(coded.columns, "decoded_sha256")))
 
 
 STAGES = [

@@ -1,10 +1,12 @@
 """The pipeline against a plain version of its stages, and the queries against their SQL."""
 
+import hashlib
 import os
 import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
 import corpus_pipeline  # noqa: E402
@@ -61,6 +63,17 @@ def test_pipeline(spark):
     assert empty.count() == 0
 
 
+def test_bpe_stage_decodes(spark, monkeypatch):
+    texts = ["a b", "中文 😀\r\n", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.bpe_stage(spark, docs, SF).collect()}
+    assert got == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+    real = corpus_pipeline.bpe.with_tokens
+    monkeypatch.setattr(corpus_pipeline.bpe, "with_tokens", lambda *a, **k: real(*a, **k).withColumn("decoded", F.lit(b"a")))
+    with pytest.raises(Exception, match="decode to their text"):
+        corpus_pipeline.bpe_stage(spark, docs, SF).collect()
+
+
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_sql(spark, name):
     c = duckdb.connect()
