@@ -325,6 +325,13 @@ def test_near_dedup_of_contiguous_edits(spark):
     assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == set(want)
 
 
+def test_near_dedup_needs_no_estimates(spark, monkeypatch):
+    """Signatures only choose what the first pass verifies; here it verifies nothing."""
+    monkeypatch.setattr(simhash_dedup, "MARGIN", -1.0)
+    texts = [" ".join(f"w{i}x{j}" for j in range(100 + k)) for i in range(5) for k in (0, 10)]
+    assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == {0, 2, 4, 6, 8}
+
+
 def test_near_dedup_compares_all_of_a_bucket(spark):
     """Texts of one bucket, in rounds: each pair of two roots once, unless sizes or parities rule it out."""
     size, root, p3 = np.r_[np.full(80, 100), np.full(10, 70)], np.r_[np.zeros(50, int), np.arange(50, 90)], np.r_[np.zeros(70, int), np.full(20, (1 << 30) - 1)]
