@@ -7,6 +7,7 @@ lengths, can still reach the query's k-th best score. Once few pairs survive, on
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,19 +114,49 @@ class Best:
         self.scores[base + hit], self.found[base + hit] = score[take], found[take]
 
 
+class Large:
+    """The k best vectors of each query in exact integers, for components whose products floats can't hold."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        #: Query's id -> (negated score, id) of its best vectors.
+        self.kept: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        """Vectors as columns of m."""
+        d = min(len(m), len(self.queries))
+        m, queries = m[:d], self.queries[:d]
+        top = max(1.0, np.abs(m).max(initial=0)) * max(1.0, np.abs(queries).max(initial=0)) * max(d, 1)
+        whole = (lambda x: x.astype(np.int64)) if top < 2.0**62 else np.frompyfunc(int, 1, 1)
+        m = whole(m)
+        for at, own in enumerate(self.ids.tolist()):
+            on = ids != own
+            scores, of = (whole(queries[:, at]) @ m if d else np.zeros(len(ids), np.int64))[on], ids[on]
+            if scores.dtype != object and len(scores) > self.k:
+                good = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                scores, of = scores[good], of[good]
+            found = zip((-int(x) for x in scores), of.tolist(), strict=True)
+            if best := heapq.nsmallest(self.k, [*self.kept.get(own, []), *found]):
+                self.kept[own] = best
+
+
 def _search(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     held = candidates.sparkSession.sparkContext.broadcast((ids, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(*held.value, k)
+        best, large = Best(*held.value, k), Large(*held.value, k)
         for batch in batches:
             for at in range(0, batch.num_rows, VECTORS):
                 part = batch.slice(at, VECTORS)
                 m = _matrix(part.column(1))
                 top = max(np.abs(m).max(initial=0), np.abs(best.queries).max(initial=0))
-                if top * top * max(len(m), 1) >= 2.0**53:
-                    raise ValueError("scores of these vectors aren't exact in 53 bits")
-                best.add(part.column(0).to_numpy(), m)
+                if top * top * max(len(m), len(best.queries), 1) >= 2.0**53:
+                    large.add(part.column(0).to_numpy(), m)
+                else:
+                    best.add(part.column(0).to_numpy(), m)
+        if large.kept:
+            rows = [(q, i, -s) for q, kept in large.kept.items() for s, i in kept]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
         i, j = np.nonzero(np.isfinite(best.scores))
         if len(i):
             yield pa.RecordBatch.from_arrays([pa.array(best.ids[i]), pa.array(best.found[i, j]), pa.array(best.scores[i, j].astype(np.int64))], names=["query_id", "vec_id", "score"])
@@ -139,7 +170,7 @@ def top_k(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str =
     Ties go to the smaller vec_id. Queries are the rows for which is_query holds, one for each vec_id (of repeated ones
     the least vector); candidates are all rows with another vec_id, each repeated row by itself. Rows whose id or vector
     is null, or whose vector has null or non-finite components, take no part; of vectors of unequal length the
-    shorter one counts as ending in zeros. Scores must be exact in 53 bits, else an error is raised. Every candidate
+    shorter one counts as ending in zeros. Scores are exact; one among a task's best that 64 bits can't hold is an error. Every candidate
     is scanned once for each `slab` queries, which are broadcast; a task keeps k rows for each of them.
     """
     candidates = whole(df, vec_id, vector)

@@ -362,6 +362,14 @@ def brute_top(rows, k=5):
     return sorted(out)
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    for scale in (2e5, 2e6, 1e15):  # 64-bit integers; then, for one vector, Python's
+        rows = [(i, [*rng.normal(0, 2e5, 8).tolist(), 0.0]) for i in range(120)] + [(125, [1.0] * 8 + [scale])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(tuple(r) for r in topk.nearest(df).collect()) == brute_top(rows)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.2, 40).astype(np.float32).tolist()) for i in range(700)]
