@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that Python code handles at once; keeps a worker's memory small whatever the Arrow batch size is.
@@ -60,17 +63,65 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master without that setting, as in tests, gets a temporary folder of its own.
     """
     sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or _LOCAL.get(sc.applicationId)
     if not shared:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared)
+        shared = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="checkpoints-")
     return shared
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder; later jobs read its files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+_LOCAL: dict[str, str] = {}
+#: Where this process has tables in shared folders.
+_WRITTEN: dict[str, str] = {}
+
+
+def materialize(df: DataFrame, **seen: Column) -> DataFrame:
+    """Cut the lineage: write a table in the shared folder and read it; later jobs read the columns that they need.
+
+    Lost executors lose none of it, and plans don't grow over iterations, as constraints and statistics start anew.
+    A table stays until discard() or the end of the process. seen: sums over the rows, which are taken while they are
+    written; the result's attribute `seen` has them.
+    """
+    spark = df.sparkSession
+    if not _WRITTEN:
+        atexit.register(_discard_all)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    watch = Observation() if seen else None
+    (df.observe(watch, *(c.alias(k) for k, c in seen.items())) if watch else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.seen = watch.get if watch else {}
+    _WRITTEN[path] = spark.sparkContext.applicationId
+    out.written = path
+    return out
+
+
+def on_split_key(left: DataFrame, sums: DataFrame, key: str) -> DataFrame:
+    """left joined with sums, which are made by a groupBy of the key.
+
+    By the key alone Spark would join sums where they were made, and then can't split the rows of a key that most rows
+    of left have. The key's hash is a second key, so that both sides are dealt anew.
+    """
+    h = free_name([*left.columns, *sums.columns], "h")
+    return left.withColumn(h, F.xxhash64(key)).join(sums.withColumn(h, F.xxhash64(key)), [key, h]).drop(h)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote. Nothing that is made of it may run any more."""
+    if (path := df.__dict__.get("written")) and _WRITTEN.pop(path, None):
+        delete_folder(df.sparkSession, path)
+
+
+def _discard_all() -> None:
+    """At the end of the process, what its live session has written goes."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for path in [p for p, app in _WRITTEN.items() if app == spark.sparkContext.applicationId]:
+        delete_folder(spark, path)

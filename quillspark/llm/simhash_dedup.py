@@ -1,11 +1,11 @@
 """Removal of near-duplicate documents: SimHash and MinHash propose pairs, the Jaccard similarity of shingles decides.
 
 Documents are near-duplicates if their sets of five-word shingles have a similarity of 0.8 or more, over further
-documents too; the one with the smallest id of each group stays. A first pass links most of them cheaply: several
-SimHash fingerprints of a document's set of words propose pairs, in shards with BK-trees, and the most promising ones
-by small MinHash signatures are verified. It need not be whole. The second pass is: texts share a bucket if a band of
-MinHashes of their shingles is equal, and of each bucket every pair of texts is either verified on the whole texts, is
-ruled out by an exact bound of its similarity, or lies between texts that verified pairs have linked already.
+documents too; the one with the smallest id of each group stays. A first pass, by the SimHash operator's BK-trees, links
+texts to near ones cheaply, so that large groups of copies are known before pairs are counted. At a similarity of 0.8
+fingerprints differ in about 10 of 64 bits, so this pass can't be whole. The second pass is: texts share a bucket if a
+band of MinHashes of their shingles is equal, and of each bucket every pair of texts is either verified on all shingles,
+is ruled out by an exact bound of its similarity, or lies between texts that verified pairs have linked already.
 """
 
 from __future__ import annotations
@@ -14,62 +14,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_slices, materialize, raw
+from .common import discard, free_name, map_slices, materialize, on_split_key, raw
 from .components import components
-from .simhash import RADIUS, _groups, fingerprint, hashes, linked, shards, shingle_words
+from .simhash import RADIUS, SEED, BkTree, _groups, fingerprint, shard_pairs, shards, shingle_words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-FINGERPRINTS = 6
 #: Bands of ROWS MinHashes. Texts of similarity 0.8 share no band in 7 of 10^10 cases, whatever the edit between them.
 BANDS, ROWS = 40, 4
 #: Pairs that a bucket proposes for each of its texts in the first round; in each further one GROWTH times as many.
 PAIRS, GROWTH = 4, 4
 #: Longs of a text's parities: bits that say of which hashes modulo 64 * PARITIES its shingles have an odd number.
 PARITIES = 4
-#: Bins of a signature. Its estimate errs by 0.04 or so; the first pass skips pairs under SIMILARITY less MARGIN.
-BINS, MARGIN = 128, 0.1
-#: In a shard of the first pass, groups of up to so many texts propose all their pairs within the radius; in larger ones
-#: each text is paired with its group's middle and with its NEAREST nearest texts. A text is in 30 shards at least.
-ALL_PAIRS, NEAREST = 8, 3
+#: Buckets of more texts are dealt over several tasks.
+CHUNK = 20_000
 #: What is known of a text wherever it goes: its number of shingles and its parities.
 FACTS = ["size", *(f"p{i}" for i in range(PARITIES))]
-#: Rows of a checked size up to which the list of removed documents is broadcast (about 40 bytes each).
+#: Rows of a checked size up to which a list of texts or documents is broadcast (about 60 bytes each).
 BROADCAST_ROWS = 100_000
+#: Words that are hashed at once, and the bytes of a word beyond which its digest is hashed: memory bounds only.
+WORDS, LONG_WORD = 4096, 256
 
 
-def _mixed(h: np.ndarray, i: int) -> np.ndarray:
-    """Further hashes of hashes."""
-    x = h + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def signature(h: np.ndarray, bins: int = BINS) -> bytes:
-    """One-permutation MinHash: the least hash of each bin, 16 bits of it; 0 for an empty bin."""
-    out = np.full(bins, 1 << 32, np.uint64)
-    np.minimum.at(out, (h % np.uint64(bins)).astype(np.int64), (h >> np.uint64(8)) & np.uint64(0xFFFFFFFF))
-    return np.where(out == 1 << 32, 0, 1 + out % np.uint64(65535)).astype(np.uint16).tobytes()
-
-
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(8).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def bands(h: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """A key for each band: a hash of its number and of the least of the hashes under each of its multipliers."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(h), 256):
-        np.minimum(least, (h[at : at + 256, None] * multipliers).min(0), out=least)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        out = _mixed(out ^ row, 1)
-    return out.view(np.int64)
+class Shingles:
+    """Hashes of runs of words: polynomials in the bytes' random values, of which prefix sums give any run's at once."""
+
+    def __init__(self):
+        rng = np.random.default_rng(SEED)
+        self._byte, self._base = rng.integers(0, 1 << 64, 256, np.uint64), int(rng.integers(0, 1 << 61)) * 8 + 5
+        self._powers = self._inverses = np.ones(1, np.uint64)
+
+    def _grown(self, n: int) -> None:
+        if n > len(self._powers):
+            size = 1 << n.bit_length()
+            self._powers, self._inverses = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (self._base, pow(self._base, -1, 1 << 64)))
+
+    def of(self, text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+        """Distinct hashes of each run of `width` words, in order; of the whole sequence if it has fewer words."""
+        ws = shingle_words(text)
+        if not ws:
+            return np.zeros(0, np.uint64)
+        width, out = min(width, len(ws)), []
+        for at in range(0, len(ws) - width + 1, WORDS):
+            part = ws[at : at + WORDS + width - 1]
+            lengths = np.fromiter(map(len, part), np.int64, len(part))
+            for i in np.flatnonzero(lengths > LONG_WORD).tolist():  # such a word's digest stands for it
+                part[i] = b"\0" + xxhash.xxh128_digest(part[i])
+                lengths[i] = 17
+            ends = np.cumsum(lengths + 1) - 1
+            self._grown(int(ends[-1]) + 1)
+            sums = np.zeros(ends[-1] + 1, np.uint64)
+            np.cumsum(self._byte[np.frombuffer(b" ".join(part), np.uint8)] * self._powers[: ends[-1]], out=sums[1:])
+            starts, ends = (ends - lengths)[: len(part) - width + 1], ends[width - 1 :]
+            out.append(_mixed((sums[ends] - sums[starts]) * self._inverses[starts]))
+        return np.unique(np.concatenate(out))
+
+
+class Bands:
+    """A key for each band of a set of hashes: of its number and of the least of the hashes under its multipliers."""
+
+    def __init__(self):
+        self._multipliers = np.random.default_rng(8).integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
+        self._buffer = np.empty((BANDS * ROWS, 256), np.uint32)
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        h, least = (h >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+        for at in range(0, len(h), 256):
+            part = h[at : at + 256]
+            np.minimum(least, np.multiply(self._multipliers, part, out=self._buffer[:, : len(part)]).min(1), out=least)
+        out = np.arange(BANDS, dtype=np.uint64)
+        for row in least.reshape(BANDS, ROWS).T:
+            out = _mixed((out ^ row) + np.uint64(0x9E3779B97F4A7C15))
+        return out.view(np.int64)
 
 
 def parities(h: np.ndarray) -> np.ndarray:
@@ -84,95 +111,45 @@ def _identity(text: Column) -> Column:
 
 
 def _sketches(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: id, the text's hash (its identity), fingerprints, signature, keys of bands, number of shingles, parities."""
-    given = df.select(F.col(doc_id).alias("doc_id"), _identity(F.col(text)).alias("t"), F.col(text).alias("text"))
-    prints = [T.StructField(f"f{i}", T.LongType()) for i in range(FINGERPRINTS)]
-    schema = T.StructType([*given.schema.fields[:2], *prints, T.StructField("sig", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in FACTS)])
+    """Per row: id, the text's hash (its identity), fingerprint, keys of bands, number of shingles, parities."""
+    given = df.select(F.col(f"`{doc_id}`").alias("doc_id"), _identity(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").alias("text"))
+    schema = T.StructType([*given.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), *(T.StructField(c, T.LongType()) for c in FACTS)])
 
     def start():
-        multipliers = _multipliers()
+        shingles, key_of = Shingles().of, Bands().of
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found, sigs, keys, facts = [], [], [], []
+            prints, keys, facts = [], [], []
             for x in raw(batch.column(2)):
-                ws = shingle_words(x)
-                own = hashes(sorted(set(ws)), 1)
-                found.append([fingerprint(_mixed(own, i)) for i in range(FINGERPRINTS)])
-                of = np.unique(hashes(ws, SHINGLE))
-                sigs.append(signature(of))
-                keys.append(bands(of, multipliers))
+                of = shingles(x)
+                prints.append(fingerprint(of))
+                keys.append(key_of(of))
                 facts.append([len(of), *parities(of).tolist()])
-            columns = [pa.array([f[i] for f in found], pa.int64()) for i in range(FINGERPRINTS)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([x[i] for x in facts], pa.int64()) for i in range(len(FACTS)))], names=schema.names)
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array([x[i] for x in facts], pa.int64()) for i in range(len(FACTS)))], names=schema.names)
 
         return one
 
     return map_slices(given, start, schema)
 
 
-def _pairs(bits: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a shard that are to be looked at: as many as rows, times a constant."""
-    labels = linked(bits, radius)
-    order = np.argsort(labels, kind="stable")
-    cut = np.flatnonzero(np.diff(labels[order])) + 1
-    for group in np.split(order, cut):
-        own = bits[group]
-        if len(group) < 2:
-            continue
-        if len(group) <= ALL_PAIRS:
-            i, j = np.nonzero(np.triu(np.bitwise_count(own[:, None] ^ own) <= radius, 1))
-            yield group[i], group[j]
-            continue
-        middle = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) * 2 > len(own)
-        m = int(np.argmin(np.bitwise_count(own ^ np.packbits(middle, bitorder="little").view(np.uint64)[0])))
-        rest = np.delete(np.arange(len(group)), m)
-        yield group[rest], np.full(len(rest), group[m])
-        for at in range(0, len(own), 512):
-            d = np.bitwise_count(own[at : at + 512, None] ^ own).astype(np.int64)
-            d[np.arange(len(d)), at + np.arange(len(d))] = 99
-            near = np.argpartition(d, NEAREST, 1)[:, :NEAREST]
-            i = np.repeat(np.arange(len(d)), NEAREST)
-            on = d[i, near.ravel()] <= radius
-            yield group[at + i[on]], group[near.ravel()[on]]
+def nearest_before(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint that has any, the nearest of those before it within the radius, found by a BK-tree."""
+    tree, best = BkTree(prints), np.full(len(prints), 1 << 40, np.int64)
+    for at in range(0, len(prints), 1024):
+        for i, j in tree.within(prints[at : at + 1024], radius):
+            i = i + at
+            i, j = i[j < i], j[j < i]
+            np.minimum.at(best, i, np.bitwise_count(prints[i] ^ prints[j]).astype(np.int64) << 32 | j)
+    on = np.flatnonzero(best < 1 << 40)
+    return on, best[on] & 0xFFFFFFFF
 
 
 def _proposed(texts: DataFrame, radius: int) -> DataFrame:
-    """(u, v) with u < v: numbers of texts to compare. texts: n, f0, f1, ..."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v, size = [], [], 0
-        for _, _, fp, n in _groups(batches):
-            for i, j in _pairs(fp.view(np.uint64), radius):
-                u.append(np.minimum(n[i], n[j]))
-                v.append(np.maximum(n[i], n[j]))
-                size += len(i)
-            if size > 1 << 16:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-                u, v, size = [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    each = texts.select(F.posexplode(F.array(*(f"f{i}" for i in range(FINGERPRINTS)))).alias("which", "fp"), "n")
-    dealt = shards(each, radius, apart="which").select("kind", "value", "fp", "n")
-    out = dealt.repartition("kind", "value").sortWithinPartitions("kind", "value", "fp").mapInArrow(run, "u long, v long")
-    return out.filter(F.col("u") != F.col("v")).distinct()
-
-
-def _estimated(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(u, v, j) of the pairs whose signatures promise a similarity of `least`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BINS) for i in (2, 3))
-            some = ((a != 0) | (b != 0)).sum(1)
-            j = np.where(some == 0, 1.0, ((a == b) & (a != 0)).sum(1) / np.maximum(some, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], names=["u", "v", "j"]).filter(pa.array(j >= least))
-
-    sig = texts.select("n", "sig")
-    both = pairs.join(sig.select(F.col("n").alias("u"), F.col("sig").alias("a")), "u").join(sig.select(F.col("n").alias("v"), F.col("sig").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, j double")
+    """(u, v) with u < v: texts with one fingerprint, and with near ones, in as many pairs as texts in each shard."""
+    prints = materialize(texts.groupBy("fp").agg(F.min("n").alias("first")))
+    equal = texts.select("fp", "n").join(prints, "fp").filter(F.col("n") != F.col("first")).select(F.col("first").alias("u"), F.col("n").alias("v"))
+    near = shard_pairs(shards(prints, radius), lambda bits: [nearest_before(bits, radius)], "first", "long")
+    return equal.unionByName(near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct()
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -180,33 +157,90 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("n")).distinct().unionByName(pairs.select(F.col("v").alias("n")).distinct()).distinct()
 
 
-def _bucketed(members: DataFrame, similarity: float, pairs: int) -> DataFrame:
+def _shingles(df: DataFrame, text: str, texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(n, h): the distinct shingles of the wanted texts, checkpointed; few texts are near another one."""
+    named = materialize(texts.select("n", "t").join(wanted, "n", "left_semi"), rows=F.count(F.lit(1)))
+    own = df.select(_identity(F.col(f"`{text}`")).alias("t"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    joined = own.join(F.broadcast(named) if named.seen["rows"] <= BROADCAST_ROWS else named, "t")
+    one = joined.groupBy("n").agg(F.first("text").alias("text"))
+
+    def start():
+        shingles = Shingles().of
+
+        def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [shingles(x).view(np.int64) for x in raw(batch.column(1))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["n", "h"])
+
+        return of
+
+    return materialize(map_slices(one, start, "n long, h array<long>"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of the pairs whose sets of shingles are similar enough; no pair's texts are ever in Python's memory."""
+    both = pairs.select("u", "v").join(sets.select(F.col("n").alias("u"), F.col("h").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("h").alias("b")), "v")
+    # common / (all - common) >= similarity, so that the intersection stands here once; the slack is for rounding only.
+    common = F.size(F.array_intersect("a", "b")) * F.lit(1.0 + similarity)
+    return both.filter(common >= similarity * (F.size("a") + F.size("b")) - 1e-6).select("u", "v")
+
+
+def _members(rooted: DataFrame) -> DataFrame:
+    """The rows (key, n, root) of buckets whose texts are of more than one root, and `rows`, their bucket's size."""
+    # Sums first: a bucket of any size is one row of each task.
+    sums = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    mixed = sums.filter(F.col("lo") != F.col("hi")).select("key", "rows")
+    return materialize(on_split_key(rooted, mixed, "key").select("key", "n", "root", "rows"), most=F.max("rows"))
+
+
+def _dealt(members: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
+    """members with columns part, home, major: buckets of over `chunk` rows are dealt over parts.
+
+    Rows of such a bucket's largest root (major) go to their home part, the others to all of its parts. So any two rows
+    of different roots meet in the home part of one of them. most: the rows of the largest bucket.
+    """
+    if most <= chunk:
+        return members.select("*", F.lit(0).alias("part"), F.lit(True).alias("home"), F.lit(-1).cast("long").alias("major"))
+    roots = members.filter(F.col("rows") > chunk).groupBy("key", "root").agg(F.count(F.lit(1)).alias("of"))
+    hot = materialize(roots.groupBy("key").agg(F.max_by("root", F.struct("of", "root")).alias("major")))
+    parts = F.ceil(F.col("rows") / chunk).cast("int")
+    out = members.join(hot, "key", "left").withColumn("own", F.pmod(F.xxhash64("n"), parts.cast("long")).cast("int"))
+    to = F.when(F.coalesce(F.col("root") == F.col("major"), F.lit(True)), F.array("own")).otherwise(F.sequence(F.lit(0), parts - 1))
+    out = out.withColumn("part", F.explode(to)).withColumn("home", F.col("own") == F.col("part"))
+    return out.select(*members.columns, "part", "home", F.coalesce("major", F.lit(-1).cast("long")).alias("major"))
+
+
+def _bucketed(members: DataFrame, similarity: float, pairs: int, most: int = 0, chunk: int = CHUNK) -> DataFrame:
     """(key, u, v): with a null key, pairs of texts to compare; else texts u of buckets that have more of them.
 
-    members: key, n, root, FACTS. Pairs of one root need no look, nor do those whose sizes and parities rule the
+    members: key, n, root, rows, FACTS. Pairs of one root need no look, nor do those whose sizes and parities rule the
     similarity out. One after another, texts outside a bucket's largest group are paired with all others and leave it,
     until it has `pairs` for each of its rows; a bucket ends when what is left of it is of one root.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
-        for key, _, n, root, size, *bits in _groups(batches):
-            kinds, of, counts = np.unique(root, return_inverse=True, return_counts=True)
-            if len(kinds) == 1:
-                continue
-            bits, left, found = np.stack(bits, 1).view(np.uint64), np.ones(len(n), bool), 0
-            for c in np.flatnonzero(of != counts.argmax()).tolist():
+        for key, _, n, root, size, *bits, home, major in _groups(batches):
+            top = major[0]
+            if top < 0:
+                kinds, counts = np.unique(root, return_counts=True)
+                top = kinds[counts.argmax()]
+            bits, left, found = np.stack(bits, 1).view(np.uint64), home.copy(), 0
+            todo = np.flatnonzero(root != top).tolist()
+            for k, c in enumerate(todo):
                 if found >= pairs * len(n):
                     break
                 left[c] = False
-                like = np.flatnonzero(left & (of != of[c]))
+                like = np.flatnonzero(left & (root != root[c]))
                 both = size[like] + size[c]
                 most = np.minimum((both - np.bitwise_count(bits[like] ^ bits[c]).sum(1, dtype=np.int64)) // 2, np.minimum(size[like], size[c]))
-                like = like[most >= similarity * (both - most)]
+                like = like[most * (1 + similarity) >= similarity * both - 1e-6]
                 if len(like):
                     out.append((np.zeros(len(like), bool), np.zeros(len(like), np.int64), np.minimum(n[like], n[c]), np.maximum(n[like], n[c])))
                     found += len(like)
-            if (of[left] != of[left][0]).any():
+            else:
+                k = len(todo)
+            left[todo[k:]] = True
+            if k < len(todo) and (root[left] != root[left][0]).any():
                 out.append((np.ones(int(left.sum()), bool), key[left], n[left], n[left]))
                 found += len(n)
             held += found
@@ -220,32 +254,8 @@ def _bucketed(members: DataFrame, similarity: float, pairs: int) -> DataFrame:
         on, key, u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(key, mask=~on), pa.array(u), pa.array(v)], names=["key", "u", "v"])
 
-    dealt = members.repartition("key").sortWithinPartitions("key", "n")
-    return dealt.select("key", F.col("key").alias("again"), "n", F.coalesce("root", "n").alias("root"), *FACTS).mapInArrow(run, "key long, u long, v long")
-
-
-def _verified(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of the pairs whose whole texts are similar enough. whole: n, text."""
-
-    def shingles(x: bytes | None) -> np.ndarray:
-        return np.unique(hashes(shingle_words(x), SHINGLE))
-
-    def start():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            good, last, own = [], None, None
-            for x, y in zip(raw(batch.column(2)), raw(batch.column(3)), strict=True):
-                if own is None or x != last:
-                    last, own = x, shingles(x)
-                other = shingles(y)
-                n = len(np.intersect1d(own, other, assume_unique=True))
-                good.append(n >= similarity * (len(own) + len(other) - n))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-        return one
-
-    needed = whole.join(_ends(pairs), "n", "left_semi").select("n", "text")
-    both = pairs.select("u", "v").join(needed.select(F.col("n").alias("u"), F.col("text").alias("a")), "u").join(needed.select(F.col("n").alias("v"), F.col("text").alias("b")), "v")
-    return map_slices(both.select("u", "v", "a", "b"), start, "u long, v long")
+    dealt = _dealt(members, most, chunk).repartition("key", "part").sortWithinPartitions("key", "part", "n")
+    return dealt.select("key", "part", "n", "root", *FACTS, "home", "major").mapInArrow(run, "key long, u long, v long")
 
 
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
@@ -255,60 +265,60 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     one group. Rows of equal text are one group without being compared.
     """
     slim = materialize(_sketches(df, doc_id, text))
-    number = F.xxhash64("t")
-    own = [*(f"f{i}" for i in range(FINGERPRINTS)), "sig", "keys", *FACTS]
-    texts = materialize(slim.groupBy("t").agg(*(F.first(c).alias(c) for c in own)).withColumn("n", number))
-    slim = slim.select("doc_id", "t")
-    maybe = materialize(_estimated(_proposed(texts, radius), texts, similarity - MARGIN))
-    whole = df.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # First the two most promising pairs of each text, as the first one of a pair and as the second ...
-    chosen = None
-    for end in ("u", "v"):
-        best = Window.partitionBy(end).orderBy(F.desc("j"), "u", "v")
-        of = maybe.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= 2).select("u", "v")
-        chosen = of if chosen is None else chosen.unionByName(of)
-    compared = materialize(chosen.distinct())
-    roots = materialize(components(_verified(compared, _one_of_each(whole, compared), similarity)))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("least")
+    texts = slim.groupBy("t").agg(least, *(F.first(c).alias(c) for c in ("fp", "keys", *FACTS)))
+    texts = materialize(texts.withColumn("n", F.monotonically_increasing_id()))  # numbers stand once they are written
+    # First the nearest texts by fingerprints ...
+    compared = materialize(_proposed(texts, radius))
+    sets = _shingles(df, text, texts, _ends(compared))
+    roots = components(_verified(compared, sets, similarity))
     # ... then, in each bucket, all those whose ends these haven't linked.
-    members, pairs = None, PAIRS
+    rooted = texts.select("n", F.explode("keys").alias("key"))
+    pairs = PAIRS
     while True:
-        rooted = texts.join(roots.withColumnRenamed("node", "n"), "n", "left").select("n", "root", "keys", *FACTS)
-        rooted = rooted.withColumn("key", F.explode("keys")).drop("keys") if members is None else members.join(rooted.drop("keys"), "n")
-        out = materialize(_bucketed(rooted, similarity, pairs))
-        open_ = materialize(out.filter(F.col("key").isNull()).select("u", "v").distinct().join(compared, ["u", "v"], "left_anti"))
-        if not open_.isEmpty():
-            found = _verified(open_, _one_of_each(whole, open_), similarity)
-            roots = materialize(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)))
+        members = _members(rooted.join(roots.withColumnRenamed("node", "n"), "n", "left").select("key", "n", F.coalesce("root", "n").alias("root")))
+        facts = members.join(texts.select("n", *FACTS), "n")
+        out = materialize(_bucketed(facts, similarity, pairs, members.seen["most"] or 0), left=F.count("key"))
+        discard(members)
+        open_ = out.filter(F.col("key").isNull()).select("u", "v").distinct().join(compared, ["u", "v"], "left_anti")
+        open_ = materialize(open_, rows=F.count(F.lit(1)))
+        if open_.seen["rows"]:
+            sets = sets.unionByName(_shingles(df, text, texts, _ends(open_).join(sets.select("n"), "n", "left_anti")))
+            found = _verified(open_, sets, similarity)
+            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
             compared = compared.unionByName(open_)
-        members, pairs = out.filter(F.col("key").isNotNull()).select("key", F.col("u").alias("n")), pairs * GROWTH
-        if members.isEmpty():
+        if not out.seen["left"]:
             break
-    rows = slim.select("doc_id", "t", number.alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = materialize(rows.select("doc_id", "t", "root"))
-    # Checkpointed, so that both sides of the join are dealt anew and a large group's rows can be split.
-    kept = materialize(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("t"))).alias("k")))
-    return rows.join(kept, "root").select("doc_id", "t", F.col("k.doc_id").alias("kept_id"), F.col("k.t").alias("kept_t"))
-
-
-def _one_of_each(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(n, text), one row for each text that a pair names, checkpointed: few texts are near another one."""
-    named = materialize(_ends(pairs))
-    numbered = texts.select(F.xxhash64(_identity(F.col("text"))).alias("n"), "text")
-    small = named.count() <= BROADCAST_ROWS
-    joined = numbered.join(F.broadcast(named) if small else named, "n", "left_semi")
-    return materialize(joined.groupBy("n").agg(F.first("text").alias("text")))
+        rooted, pairs = out.filter(F.col("key").isNotNull()).select("key", F.col("u").alias("n")).distinct(), pairs * GROWTH
+    labels = texts.select("t", "n", "least").join(roots.withColumnRenamed("node", "n"), "n", "left")
+    labels = materialize(labels.select("t", "least", F.coalesce("root", "n").alias("root")))
+    kept = labels.groupBy("root").agg(F.min("least").alias("kept"))
+    by_text = on_split_key(labels, kept, "root").select("t", F.col("kept.doc_id").alias("kept_id"), F.col("kept.t").alias("kept_t"))
+    return on_split_key(slim.select("doc_id", "t"), by_text, "t")
 
 
 def without_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """df with one document of each group of near-duplicates, unchanged; of repeated rows one stays."""
-    found = groups(df, doc_id, text, similarity, radius)
-    gone = materialize(found.filter(~(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t")))).select("doc_id", "t").distinct())
-    repeated = found.filter(F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t"))).groupBy("doc_id", "t").count().filter(F.col("count") > 1)
-    t = "__text_identity"
-    out = df.withColumn(t, _identity(F.col(f"`{text}`")))
-    listed = gone.select(F.col("doc_id").alias("__gone_id"), F.col("t").alias("__gone_t"))
-    listed = F.broadcast(listed) if gone.count() <= BROADCAST_ROWS else listed
-    out = out.join(listed, F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone_id")) & (F.col(t) == F.col("__gone_t")), "left_anti")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates([doc_id, t])
-    return out.select(*(f"`{c}`" for c in df.columns))
+    """df with one document of each group of near-duplicates, unchanged, whatever its further columns are called.
+
+    Null texts count as empty, and all texts without words are one group; very long texts are compared whole. Of rows
+    with one id and text one stays; of a group's rows the one with the smallest id stays, null ids come last, and ties
+    between texts of one id are settled by the texts' MD5. An empty table gives an empty one.
+    """
+    found = materialize(groups(df, doc_id, text, similarity, radius))
+    stays = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("t") == F.col("kept_t"))
+    gone = found.filter(~stays).select("doc_id", "t").distinct()
+    repeated = found.filter(stays).groupBy("doc_id", "t").count().filter(F.col("count") > 1).drop("count")
+    gone, repeated = (materialize(x, rows=F.count(F.lit(1))) for x in (gone, repeated))
+    t = free_name(df.columns, "text_identity")
+    named = df.withColumn(t, _identity(F.col(f"`{text}`")))
+    own = [F.col(f"`{c}`") for c in df.columns]
+
+    def joined(some: DataFrame, how: str, rows: DataFrame = named) -> DataFrame:
+        rows_of, some = some.seen["rows"], some.select(F.col("doc_id").alias("listed_id"), F.col("t").alias("listed_t"))
+        some = F.broadcast(some) if rows_of <= BROADCAST_ROWS else some
+        return rows.alias("rows").join(some.alias("some"), F.col(f"rows.`{doc_id}`").eqNullSafe(F.col("some.listed_id")) & (F.col(f"rows.`{t}`") == F.col("some.listed_t")), how)
+
+    out = joined(gone, "left_anti")
+    if not repeated.seen["rows"]:
+        return out.select(*own)
+    return joined(repeated, "left_anti", out).select(*own).unionByName(joined(repeated, "left_semi").dropDuplicates([doc_id, t]).select(*own))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -207,18 +208,33 @@ def brute_groups(prints, radius):
 def test_simhash(spark, documents, odd):
     for df in (documents, odd):
         rows = df.select("doc_id", "text").collect()
-        prints = [brute_fingerprint(r.text) if r.text is None or len(r.text) < 50_000 else None for r in rows]
+        prints = [brute_fingerprint(r.text) for r in rows]
         got = simhash.near_groups(df).collect()
         by = {(r.doc_id, r.fingerprint): r.component_id for r in got}
         assert len(got) == len(rows)
-        known = [i for i, p in enumerate(prints) if p is not None]
-        roots = brute_groups([prints[i] for i in known], 4)
+        roots = brute_groups(prints, 4)
         ids = {}
-        for i, root in zip(known, roots, strict=True):
+        for i, root in enumerate(roots):
             ids.setdefault(root, []).append(rows[i].doc_id)
-        for i, root in zip(known, roots, strict=True):
+        for i, root in enumerate(roots):
             assert by[rows[i].doc_id, f"{prints[i]:016x}"] == min((x for x in ids[root] if x is not None), default=None)
     assert simhash.near_groups(documents.limit(0)).count() == 0
+    few = documents.limit(20)
+    assert sorted(simhash.near_groups(clash(few, "fp", "first", "FINGERPRINT")).collect(), key=str) == sorted(simhash.near_groups(few).collect(), key=str)
+
+
+def test_simhash_walks_trees(spark, monkeypatch):
+    """Shards of a larger table are trees of hundreds of fingerprints, of which a query sees a part only."""
+    slim = simhash.with_fingerprint(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), name="fp")
+    first = simhash.materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    sizes = [r["count"] for r in simhash.shards(first, 4).groupBy("kind", "value").count().collect()]
+    assert sum(sizes) == 5 * first.count() and np.median(sizes) > 100 and max(sizes) <= simhash.SHARD
+    tree = simhash.BkTree(np.array([r.fp for r in first.collect()], np.int64).view(np.uint64)[:2000])
+    assert not isinstance(tree.root, np.ndarray) and len(tree.root[1]) > 10
+    seen, real = [], np.bitwise_count
+    monkeypatch.setattr(simhash.np, "bitwise_count", lambda x: seen.append(x.size) or real(x))
+    list(tree.within(tree.prints[:100], 1))
+    assert sum(seen) < 0.6 * 100 * 2000
 
 
 def test_simhash_links(spark):
@@ -226,11 +242,14 @@ def test_simhash_links(spark):
     seeds = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     flips = lambda: np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)
     prints = np.unique(np.concatenate([seeds] + [seeds ^ flips() ^ flips() ^ flips() for _ in range(40)]))
-    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    fps = prints.view(np.int64).tolist()
+    df = spark.createDataFrame([(p, i if i % 7 else None) for i, p in enumerate(fps)], "fp long, first long")
     roots = brute_groups([int(p) for p in prints], 4)
     want = sorted(sorted(int(prints.view(np.int64)[i]) for i in range(len(prints)) if roots[i] == r) for r in set(roots))
     for shard in (4096, 20):  # large shards are dealt again
-        found = components.components(simhash.links(df, 4, shard=shard)).collect()
+        edges = simhash.links(df, 4, shard=shard)
+        assert all((e.u, e.v) == tuple(i if i % 7 else None for i in (fps.index(e.u_fp), fps.index(e.v_fp))) for e in edges.limit(50).collect())
+        found = components.components(edges, "u_fp", "v_fp").collect()
         of = {r.node: r.root for r in found}
         groups = {}
         for p in prints.view(np.int64).tolist():
@@ -239,11 +258,10 @@ def test_simhash_links(spark):
     tree = simhash.BkTree(prints)
     pairs = {(int(i), int(j)) for a, b in tree.within(prints, 4) for i, j in zip(a, b, strict=True)}
     assert pairs == set(zip(*map(np.ndarray.tolist, np.nonzero(np.bitwise_count(prints[:, None] ^ prints) <= 4)), strict=True))
-    for depth in (1, 2, 3):
-        kinds = simhash.masks(4, depth)
+    for used in (3, 13):
         for _ in range(200):
-            x = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-            assert any(not x & m for m in kinds.values())
+            x = {int(b) for b in rng.choice(64, 4, replace=False)}
+            assert any(not x & set(g) for g in simhash.groups_of(tuple(range(64)), 4, used))
 
 
 def test_components(spark):
@@ -325,20 +343,70 @@ def test_near_dedup_of_contiguous_edits(spark):
     assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == set(want)
 
 
-def test_near_dedup_needs_no_estimates(spark, monkeypatch):
-    """Signatures only choose what the first pass verifies; here it verifies nothing."""
-    monkeypatch.setattr(simhash_dedup, "MARGIN", -1.0)
-    texts = [" ".join(f"w{i}x{j}" for j in range(100 + k)) for i in range(5) for k in (0, 10)]
-    assert {x.doc_id for x in simhash_dedup.without_near_duplicates(docs(spark, texts)).collect()} == {0, 2, 4, 6, 8}
+def all_near(sets, similarity=0.8):
+    """Every pair of sets that are similar enough: such sets share one of their rarest items, the others are counted."""
+    often = {}
+    for x in sets:
+        for h in x:
+            often[h] = often.get(h, 0) + 1
+    index, pairs = {}, set()
+    for i, x in enumerate(sets):
+        rare, seen = sorted(x, key=lambda h: (often[h], h))[: len(x) - math.ceil(similarity * len(x)) + 1], set()
+        for h in rare:
+            seen.update(index.get(h, ()))
+            index.setdefault(h, []).append(i)
+        for j in seen:
+            both = len(x & sets[j])
+            if both >= similarity * (len(x) + len(sets[j]) - both):
+                pairs.add((j, i))
+    return pairs
+
+
+def test_near_dedup_of_a_whole_table(spark):
+    """Recall over all documents, against all pairs of a similarity of 0.8 or more, found in another way."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = sorted({r.text or "": r.doc_id for r in sorted(df.select("doc_id", "text").collect(), key=lambda r: -r.doc_id)}.items(), key=lambda r: r[1])
+    sets = [set(simhash.hashes(simhash.shingle_words(t.encode()), 5).tolist()) for t, _ in rows]
+    pairs = all_near(sets)
+    assert len(pairs) > 40
+    group = list(range(len(rows)))
+
+    def find(x):
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        group[max(a, b)] = min(a, b)
+    first = {t: find(i) for i, (t, _) in enumerate(rows)}
+    got = {r.doc_id: r.kept_id for r in simhash_dedup.groups(df).collect()}
+    assert got == {r.doc_id: rows[first[r.text or ""]][1] for r in df.select("doc_id", "text").collect()}
+
+
+def test_near_dedup_deals_large_buckets(spark):
+    """Buckets over the limit are dealt over parts; every pair of two roots still meets."""
+    columns = "key long, n long, root long, rows long, " + ", ".join(f"{c} long" for c in simhash_dedup.FACTS)
+    root = [0] * 120 + list(range(120, 160)) + [200] * 20
+    rows = [(k, i, r, 180 if k == 7 else 29, 100, 0, 0, 0, 0) for k in (7, 8) for i, r in enumerate(root) if k == 7 or i > 150]
+    for many in (1 << 20, 1):
+        left, pairs, rounds = rows, [], 0
+        while left:
+            out = simhash_dedup._bucketed(spark.createDataFrame(left, columns), 0.8, many * 4**rounds, 180, chunk=25).collect()
+            pairs += [(x.u, x.v) for x in out if x.key is None]
+            rest = {(x.key, x.u) for x in out if x.key is not None}
+            left, rounds = [x for x in rows if (x[0], x[1]) in rest], rounds + 1
+        assert set(pairs) == {(i, j) for i in range(180) for j in range(i + 1, 180) if root[i] != root[j]}
+        assert rounds == 1 or many == 1
 
 
 def test_near_dedup_compares_all_of_a_bucket(spark):
     """Texts of one bucket, in rounds: each pair of two roots once, unless sizes or parities rule it out."""
     size, root, p3 = np.r_[np.full(80, 100), np.full(10, 70)], np.r_[np.zeros(50, int), np.arange(50, 90)], np.r_[np.zeros(70, int), np.full(20, (1 << 30) - 1)]
-    columns = "key long, n long, root long, " + ", ".join(f"{c} long" for c in simhash_dedup.FACTS)
+    columns = "key long, n long, root long, rows long, " + ", ".join(f"{c} long" for c in simhash_dedup.FACTS)
     left, pairs, many, rounds = range(90), [], 1, 0
     while left:
-        rows = [(7, i, int(root[i]), int(size[i]), 0, 0, 0, int(p3[i])) for i in left]
+        rows = [(7, i, int(root[i]), len(left), int(size[i]), 0, 0, 0, int(p3[i])) for i in left]
         got = simhash_dedup._bucketed(spark.createDataFrame(rows, columns), 0.8, many).collect()
         pairs += [(x.u, x.v) for x in got if x.key is None]
         left, many, rounds = [x.u for x in got if x.key is not None], many * 4, rounds + 1
