@@ -123,27 +123,32 @@ def features(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from about `sample` rows of each language, picked by a hash of the key.
+    """A model from about `sample` rows of each language, picked by a hash of key and text, at least one of each.
 
-    Rows without language or text are left out. Languages are at most MOST_LANGUAGES; more raise an error.
+    Rows without language or text are left out; rows of equal key and text count once, so neither null nor repeated
+    keys nor repeated rows crowd others out. Ties of the hash count as one row. An empty table gives a model that knows
+    no language. Languages are at most MOST_LANGUAGES; more raise an error.
     """
-    usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(F.col(lang).cast("string")).count().limit(MOST_LANGUAGES + 1).collect()}
+    lang_, text_ = F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    usable = labelled.select(lang_, text_, place.alias("place")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: (r[1], r[2]) for r in usable.groupBy("lang").agg(F.count(F.lit(1)), F.min("place")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Model()
-    rates = F.create_map(*(x for lang_, n in sorted(counts.items()) for x in (F.lit(lang_), F.lit(min(1.0, 1.25 * sample / n)))))
-    place = F.pmod(F.xxhash64(F.col(key), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = features(usable.filter(place < rates[F.col(lang).cast("string")]).orderBy(place).limit(2 * sample * len(counts)), text, lang).collect()
+    rates = F.create_map(*(x for name, (n, least) in sorted(counts.items()) for x in (F.lit(name), F.lit(max(least, min(1.0, 1.25 * sample / n))))))
+    one = usable.filter(F.col("place") <= rates[F.col("lang")]).groupBy("lang", "place").agg(F.first("text").alias("text"))
+    picked = features(one.orderBy("place", "lang").limit(2 * sample * len(counts)), "text", "lang").collect()
     return fit(sorted(((r.lang, np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32).astype(np.int64)) for r in picked), key=lambda s: (s[0], s[1].tobytes(), s[2].tobytes())))
 
 
 def with_language(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred (a language of the model; `und` for a null text or one without letters), score and rejected.
 
-    rejected: the text is unknown, or farther from every centroid than its language's limit. Rows, repeated ones too,
-    and other columns stay; a clashing new name gets underscores in front. No shuffle. The model, of at most
+    rejected: the text is unknown, or farther from every centroid than its language's limit. Very long texts are read
+    whole; of equally near languages the first by name is taken. Rows, repeated ones too, and other columns stay; a
+    clashing new name gets underscores in front. An empty table gives an empty one. No shuffle. The model, of at most
     MOST_LANGUAGES times CENTROIDS times 64 KB, is broadcast.
     """
     kinds = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
