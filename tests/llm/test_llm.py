@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 
@@ -78,6 +79,25 @@ def test_language_id(spark, documents, odd):
         known = bool(text) and any(map(str.isalpha, text))
         assert (lang == "und") == (not known) and 0 <= score <= 1 and (known or rejected)
     assert [r.rejected for r in language_id.with_language(docs(spark, ["привет как дела сегодня хорошо " * 20]), model).collect()] == [True]
+    # Neither null nor repeated ids, nor a row that fills a language, keep a language from being learned.
+    words = {"aa": "uno dos tres cuatro cinco", "bb": "eins zwei drei vier", "cc": "hat nagy kicsi fehér"}
+    many = [(None if i % 2 else 7, f"{words[k]} {i % 50} " * 3, k, "s", None) for k in words for i in range(600 if k != "cc" else 1)]
+    many += [(9, "same row here", "aa", "s", None)] * 2000
+    got = language_id.predicted(spark.createDataFrame([(None if i is None else i * 4, *x) for i, *x in many], DOCS)).groupBy("lang_pred").count().collect()
+    assert {r[0]: r[1] for r in got} == {"aa": 2600, "bb": 600, "cc": 1}
+    # The nearest centroid by cosine, with vectors made in a plain way.
+    texts = [r.text for r in documents.limit(60).collect()] + ["la casa", "the house 12"]
+    for t in texts:
+        low = b" " + b" ".join(words_of(t)) + b" " if hasattr(words_of(t)[0], "decode") else (" " + " ".join(words_of(t)) + " ").encode()
+        at, counts = language_id.trigrams(t.encode())
+        assert counts.sum() >= len(low) - 2
+        v = np.zeros(1 << language_id.BITS)
+        for a, n in zip(at, counts, strict=True):
+            v[a] = (1 + math.log(n)) * model.idf[a]
+        cosines = [float(v @ c / (np.linalg.norm(v))) for c in model.centroids]
+        best = max(range(len(cosines)), key=lambda i: cosines[i])
+        name, score, _ = model.predict(t)
+        assert name == model.languages[model.of[best]] and abs(score - min(1, max(0, cosines[best]))) < 1e-5
     empty = language_id.predicted(documents.limit(0))
     assert empty.count() == 0
     assert {r.lang_pred for r in language_id.predicted(documents.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -132,6 +152,24 @@ def brute_contamination(texts, items):
     return out
 
 
+def test_decontamination_memory():
+    """The automaton grows with the benchmark's text, not with its windows."""
+    import subprocess
+    import sys
+
+    code = """
+import random
+from quillspark.llm.decontaminate import Windows
+r = random.Random(1)
+vocabulary = [("%x" % r.randrange(1 << 28)).encode() for _ in range(100_000)]
+items = [(str(i), r.choices(vocabulary, k=60)) for i in range(5_000)]
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+before = rss(); w = Windows(items, 10); print((rss() - before) / sum(len(x) + 1 for _, ws in items for x in ws))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    assert float(done.stdout) < 60
+
+
 def test_decontamination(spark, odd, documents):
     r = random.Random(5)
     make = lambda n: " ".join(r.choice("abcd") for _ in range(n))
@@ -143,6 +181,13 @@ def test_decontamination(spark, odd, documents):
     assert [tuple(x)[1:] for x in got] == want
     small = decontaminate.with_contamination(docs(spark, texts), benchmark, part_bytes=20).orderBy("doc_id").collect()
     assert [(x.n_hit, len(x.items)) for x in small] == [w[1:3] for w in want], "in parts"
+    few = decontaminate.with_contamination(clash(docs(spark, texts), "ITEMS", "row"), benchmark, part_bytes=20)
+    assert [(x.n_hit, [tuple(s) for s in x.spans]) for x in few.orderBy("doc_id").collect()] == [(x.n_hit, [tuple(s) for s in x.spans]) for x in small]
+    long = make(20_000).split()
+    periodic = [(1, " ".join(long)), (2, "a b " * 3000), (3, "a " * 40)]
+    want_long = brute_contamination(["x " + " ".join(long[5000:5060]) + " y", "b a " * 30, "a " * 12, "a " * 9], [(1, " ".join(long[4900:5100])), (2, "a b " * 20), (3, "a " * 40)])
+    got = decontaminate.contamination(docs(spark, ["x " + " ".join(long[5000:5060]) + " y", "b a " * 30, "a " * 12, "a " * 9]), spark.createDataFrame(periodic, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(x.n_words, x.n_hit, x.contaminated) for x in got] == [(w[0], w[1], w[4]) for w in want_long]
     x = decontaminate.with_contamination(clash(docs(spark, texts[:1]), "spans"), benchmark).first()
     assert [texts[0][s.begin : s.until] for s in x._spans] == ["SHORT-one. " + items[0][1].upper()] or "".join(texts[0][s.begin : s.until] for s in x._spans).startswith("SHORT-one")
     assert decontaminate.contamination(odd, benchmark).count() == odd.count() and not decontaminate.contamination(odd, benchmark.limit(0)).filter("contaminated").count()
