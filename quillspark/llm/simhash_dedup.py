@@ -273,10 +273,10 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     sets = _shingles(df, text, texts, _ends(compared))
     roots = components(_verified(compared, sets, similarity))
     # ... then, in each bucket, all those whose ends these haven't linked.
-    rooted = texts.select("n", F.explode("keys").alias("key"))
-    pairs = PAIRS
+    rooted, pairs = texts.select("n", "keys"), PAIRS
     while True:
-        members = _members(rooted.join(roots.withColumnRenamed("node", "n"), "n", "left").select("key", "n", F.coalesce("root", "n").alias("root")))
+        rooted = rooted.join(roots.withColumnRenamed("node", "n"), "n", "left")
+        members = _members(rooted.select(F.explode("keys").alias("key"), "n", F.coalesce("root", "n").alias("root")))
         facts = members.join(texts.select("n", *FACTS), "n")
         out = materialize(_bucketed(facts, similarity, pairs, members.seen["most"] or 0), left=F.count("key"))
         discard(members)
@@ -289,7 +289,7 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
             compared = compared.unionByName(open_)
         if not out.seen["left"]:
             break
-        rooted, pairs = out.filter(F.col("key").isNotNull()).select("key", F.col("u").alias("n")).distinct(), pairs * GROWTH
+        rooted, pairs = out.filter(F.col("key").isNotNull()).select(F.col("u").alias("n"), F.array("key").alias("keys")).distinct(), pairs * GROWTH
     labels = texts.select("t", "n", "least").join(roots.withColumnRenamed("node", "n"), "n", "left")
     labels = materialize(labels.select("t", "least", F.coalesce("root", "n").alias("root")))
     kept = labels.groupBy("root").agg(F.min("least").alias("kept"))
