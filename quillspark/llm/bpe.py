@@ -10,6 +10,7 @@ recomputed from the edited place on until they meet the old ones again.
 from __future__ import annotations
 
 import base64
+import copy
 from array import array
 from collections.abc import Iterable
 
@@ -21,9 +22,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, map_slices
 
-#: Pieces, pairs of tokens and pieces' first bytes that a worker remembers, some 150 MB in all; it starts over beyond
+#: Pieces, pairs of tokens and pieces' first bytes that a task remembers, some 80 MB in all; it starts over beyond
 #: that. A memory bound only.
-PIECES, PAIRS, HEADS = 400_000, 400_000, 100_000
+PIECES, PAIRS, HEADS = 200_000, 200_000, 50_000
 #: Tables of pieces' first bytes are remembered up to this length; longer pieces go on from there.
 HEAD = 8
 
@@ -201,14 +202,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-_LOADED: dict[str, tuple[PrefixBpe, _Pieces]] = {}
+_LOADED: dict[str, PrefixBpe] = {}
 
 
 def loaded(path: str) -> tuple[PrefixBpe, _Pieces]:
+    """The file's tables, which a worker reads once, with nothing remembered of texts yet."""
     if path not in _LOADED:
-        bpe = PrefixBpe(read_ranks(path))
-        _LOADED[path] = bpe, _Pieces(bpe)
-    return _LOADED[path]
+        _LOADED[path] = PrefixBpe(read_ranks(path))
+    bpe = copy.copy(_LOADED[path])
+    bpe._pairs, bpe._heads = {}, {}
+    return bpe, _Pieces(bpe)
 
 
 def with_tokens(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens", decoded: str | None = None) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,18 +39,32 @@ def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 def map_slices(df: DataFrame, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow over slices of SLICE_ROWS rows. fn is called once in each task and returns the function for slices."""
+    """mapInArrow over slices of SLICE_ROWS rows. fn is called once in each task and returns the function for slices.
+
+    What the function remembers goes with the task: an idle worker keeps no memory of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = fn()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                if (out := one(batch.slice(at, SLICE_ROWS))) is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_ROWS):
+                    if (out := one(batch.slice(at, SLICE_ROWS))) is not None:
+                        yield out
+        finally:
+            one = batch = out = None
+            given_back()
 
     return df.mapInArrow(run, schema)
 
 
+def given_back() -> None:
+    """Let the system have the memory that this worker no longer uses."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name, with underscores in front until no column of that name exists (names compare without case)."""
     low = {c.lower() for c in taken}
