@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages, each over all rows that the one before it kept."""
+"""A corpus pipeline of five stages, each over all rows that the one before it kept.
+
+In all stages null texts count as empty, very long texts are handled whole, an empty table gives an empty one, and
+further columns stay, whatever their names. Repeated rows and ties are settled by near-dedup only: of rows with one id
+and text one stays, and of a group the row with the smallest id (nulls last), then the smallest MD5 of the text.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, decontaminate, language_id, line_dedup, simhash_dedup
-from quillspark.llm.common import free_name, shared_folder, table
+from quillspark.llm.common import delete_folder, free_name, shared_folder, table
 from quillspark.llm.queries import vocabulary_file
 
 #: Stages work on hashes and whole texts in ways that SQL can't express (a fitted model, SimHash, BPE).
@@ -16,15 +21,21 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model rejects: without letters, or far from all languages that it knows."""
+    """Drops documents that the language model rejects: null texts, texts without letters, or far from all languages.
+
+    If no document has a language, nothing is known and all go.
+    """
     marked = language_id.with_language(docs, language_id.train(docs.filter(~language_id.held_out())))
-    return marked.filter(~F.col(f"`{marked.columns[-1]}`")).select(docs.columns)
+    return marked.filter(~F.col(f"`{marked.columns[-1]}`")).select(*(f"`{c}`" for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes boilerplate lines out of the texts; n_chars follows."""
+    """Takes boilerplate lines out of the texts; n_chars, where there is such a column, follows. Null texts stay null."""
     cleaned = line_dedup.without_boilerplate(docs)
-    return cleaned.withColumn("n_chars", F.when(F.col(f"`{cleaned.columns[-1]}`") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        changed = F.col(f"`{cleaned.columns[-1]}`") > 0
+        cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cleaned.select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +67,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written as Parquet in the shared folder and read again."""
+    """The last stage's rows; each stage's result is written as Parquet in the shared folder and read again.
+
+    A stage's folder goes when the next one is written. A new column of the last stage that clashes gets underscores.
+    """
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            delete_folder(spark, f"{folder}/{i - 1}")
     return docs
