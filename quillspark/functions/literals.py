@@ -14,7 +14,7 @@ from ..errors import EngineError
 
 # The ways to write a date, and a date with a time.
 DATE_FORMATS = ("%Y%m%d", "%Y-%m-%d", "%Y_%m_%d")
-DATETIME_FORMATS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y%m%d%H%M%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M")
+DATETIME_FORMATS = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y%m%d%H%M%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f")
 # Separators by name.
 SEPARATORS = {"": ",", "comma": ",", "tab": "\t", "semicolon": ";", "pipe": "|"}
 
@@ -36,10 +36,11 @@ def parse_date(text: str) -> date:
 
 
 def parse_datetime(text: str) -> datetime:
-    """One of the formats above, or a date alone, which is its midnight; in UTC."""
+    """One of the formats above, or a date alone, which is its midnight; in UTC. Digits after microseconds are cut."""
+    short = re.sub(r"(:\d\d\.\d{6})\d+$", r"\1", text.strip())
     for form in DATETIME_FORMATS:
         try:
-            return datetime.strptime(text.strip(), form).replace(tzinfo=UTC)
+            return datetime.strptime(short, form).replace(tzinfo=UTC)
         except ValueError:
             continue
     d = parse_date(text)
@@ -89,7 +90,7 @@ def literal(text: str, kind: T.DataType, strict: bool = False) -> Column:
     if isinstance(kind, T.DateType):
         return F.lit(parse_date(value))
     if isinstance(kind, T.TimestampType | T.TimestampNTZType) and not strict:
-        return F.lit(parse_datetime(value).strftime("%Y-%m-%d %H:%M:%S") + ("Z" if isinstance(kind, T.TimestampType) else "")).cast(kind)
+        return F.lit(parse_datetime(value).strftime("%Y-%m-%d %H:%M:%S.%f") + ("Z" if isinstance(kind, T.TimestampType) else "")).cast(kind)
     if isinstance(kind, T.DecimalType) and not strict:
         try:
             return F.lit(Decimal(value))

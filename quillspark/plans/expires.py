@@ -16,7 +16,9 @@ from ..errors import EngineError
 ZONES = {"UTC": 0, "GMT": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3}
 # Seconds of the units of durations.
 UNITS = {"ms": 0.001, "millisecond": 0.001, "s": 1, "sec": 1, "second": 1, "min": 60, "minute": 60, "h": 3600, "hr": 3600, "hour": 3600, "d": 86400, "day": 86400, "w": 604800, "week": 604800, "mo": 2592000, "month": 2592000}
+# Names of days, further short ones besides their first three letters, and of periods.
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+SHORT_DAYS = {"tues": "tuesday", "thur": "thursday", "thurs": "thursday"}
 _PERIODS = {"eod": "day", "end of day": "day", "eow": "week", "end of week": "week", "eom": "month", "end of month": "month"}
 
 
@@ -108,7 +110,7 @@ def _atom(text: str) -> Expires:
     if low in _PERIODS:
         return Expires("end", _PERIODS[low])
     if m := re.fullmatch(r"on\s+(\w+)", low):
-        day = next((i for i, d in enumerate(DAYS) if m[1] in (d, d[:3])), None)
+        day = next((i for i, d in enumerate(DAYS) if SHORT_DAYS.get(m[1], m[1]) in (d, d[:3])), None)
         if day is None:
             raise EngineError("argument", f"{m[1]!r} isn't a day of the week")
         return Expires("weekday", day)

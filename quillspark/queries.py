@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,11 @@ def _(spark, d):
     return Engine(spark, d).apply("ns-pl/from_csv", PEOPLE).frame()
 
 
+@custom("from_csv_quoted_newline", "SELECT * FROM (VALUES ('x' || chr(10) || 'y', 1::BIGINT), ('u\u2028v', 2), ('say \"hi\"', 3)) AS t(a, b)")
+def _(spark, d):
+    return Engine(spark, d).apply("ns-pl/from_csv", 'a,b\n"x\ny",1\r\nu\u2028v,2\n"say ""hi""",3\n').frame()
+
+
 @custom("from_csv_separator", _PEOPLE_SQL + " WHERE age > 26")
 def _(spark, d):
     return Engine(spark, d).apply("ns-pl/from_csv-semicolon/gt-age-26", PEOPLE.replace('"Smith, C"', "Smith# C").replace(",", ";").replace("#", ",")).frame()
@@ -121,8 +127,10 @@ def _folder(spark: SparkSession, d: str) -> Engine:
     """The tables, and a folder of its own to write into."""
     from pathlib import Path
 
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    base = f"{shared}/store" if shared else Path(tempfile.mkdtemp(prefix="store-")).as_uri()
+    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    base = f"{shared}/store-{uuid.uuid4().hex}" if shared else Path(tempfile.mkdtemp(prefix="store-")).as_uri()
     return Engine(spark, Router([FileStore(spark, base, parse_key("out")), MemoryStore(parse_key("mem")), FileStore(spark, d)]))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import re
+
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,25 +59,57 @@ def write_frame(frame: OrderedFrame, path: str, name: str) -> None:
         raise EngineError("not-supported", f"frames can't be written as {name}")
 
 
+def csv_records(text: str, sep: str) -> list[str]:
+    """A CSV text cut at line ends outside of quotes. A quote counts at a field's begin only, or where one has ended."""
+    out, begin, quoted, field, closed = [], 0, False, 0, -1
+    for m in re.finditer(f'"|\r\n|\n|\r|{re.escape(sep)}', text):
+        if m[0] == '"':
+            if quoted:
+                quoted, closed = False, m.end()
+            else:
+                quoted = m.start() in (field, closed)
+        elif not quoted:
+            field = m.end()
+            if m[0] != sep:
+                out.append(text[begin : m.start()])
+                begin = m.end()
+    return [*out, text[begin:]]
+
+
 def csv_text(context, text: str, sep: str) -> OrderedFrame:
     if not text.strip("\r\n"):
         raise EngineError("conversion", "there is no CSV in an empty text")
-    return read_csv(context.spark, context.spark.sparkContext.parallelize(text.splitlines(), 1), sep)
+    return read_csv(context.spark, context.spark.sparkContext.parallelize(csv_records(text, sep), 1), sep)
+
+
+def frame_bytes(frame: OrderedFrame, name: str) -> bytes:
+    """A whole frame as one file's content in the named format (CSV without a name): for results that fit in a value."""
+    kind, sep = frame_format(name or "csv")
+    if kind == "csv":
+        return csv_value(frame, sep).result().first()[0].encode()
+    if kind == "parquet":
+        out = io.BytesIO()
+        pq.write_table(frame.result().toArrow(), out)
+        return out.getvalue()
+    if kind in ("json", "ndjson"):
+        rows = [r[0] for r in frame.result().select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+        return (("[" + ",\n".join(rows) + "]") if kind == "json" else "".join(f"{r}\n" for r in rows)).encode()
+    raise EngineError("not-supported", f"frames can't be written as {name} in one value")
 
 
-def _quoted(c: str, kind: T.DataType):
+def _quoted(c: str, kind: T.DataType, sep: str):
     value = column(c).cast("string")
     if isinstance(kind, T.StringType):
-        value = F.when(value.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+        value = F.when(value.rlike(f'["{re.escape(sep)}\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
     return F.coalesce(value, F.lit(""))
 
 
-def csv_value(frame: OrderedFrame) -> OrderedFrame:
-    """One row with the whole frame as CSV text, comma-separated: for results that fit in a value."""
+def csv_value(frame: OrderedFrame, sep: str = ",") -> OrderedFrame:
+    """One row with the whole frame as CSV text: for results that fit in a value."""
     types = {f.name: f.dataType for f in frame.df.schema}
-    line = F.concat_ws(",", *(_quoted(c, types[c]) for c in frame.columns))
+    line = F.concat_ws(sep, *(_quoted(c, types[c], sep) for c in frame.columns))
     lines = frame.df.select(F.struct(*(column(k) for k, _ in frame.keys)).alias("k"), line.alias("line")) if frame.keys else frame.df.select(F.lit(0).alias("k"), line.alias("line"))
-    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in '",\r\n') else c for c in frame.columns)
+    head = sep.join('"' + c.replace('"', '""') + '"' if any(x in c for x in f'"{sep}\r\n') else c for c in frame.columns)
     ups = [up for _, up in frame.keys]
     if all(ups):
         rows = F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"])
