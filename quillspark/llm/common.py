@@ -65,6 +65,11 @@ def given_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, which may have dots."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def free_name(taken: list[str], name: str) -> str:
     """name, with underscores in front until no column of that name exists (names compare without case)."""
     low = {c.lower() for c in taken}

@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare words.
 
-Templates are indexed by their rarest words, with the places of these in the template. A text's occurrences of such
-words are looked up; each proposes places where a template would start, and a place on which the template's rare words
-agree is kept if the template's key phrases stand at their places from there. Rarity is counted over all documents.
-Short phrases are templates of which every word is a key phrase, so every one of their places is found.
+Templates are indexed by the words of their mandatory key phrases, with the words' places in the template. Of each text,
+the licence words of highest IDF are looked up: as many as leave no template that may stand there without some. Each of
+their places proposes where a template would start; the proposals of a template's words are intersected, and what is
+left is kept if all key phrases stand at their places from there. Rarity is counted over all documents; it decides how
+few places are looked at, never what is found, as a template without one of its key phrases' words can't stand there.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_slices, raw, words
+from .common import free_name, map_slices, named, raw, words
 
-#: Rare words by which a template is found.
+#: Words of a template, the text's rarest, that are looked up before its key phrases are compared.
 RARE = 3
 
 
@@ -64,35 +65,63 @@ NOTICES = (
 
 
 class Index:
-    """idf: rarity of words; words that it lacks are the rarest."""
+    """Postings of the words of key phrases, called licence words. idf: rarity of words; words that it lacks are the rarest."""
 
     def __init__(self, base: tuple[Template, ...], notices: tuple[Template, ...], idf: dict[bytes, float]):
         self.templates = [(t.label, t.words, t.key_places, i < len(base)) for i, t in enumerate((*base, *notices))]
-        self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.needed: list[int] = []
+        #: Licence word -> templates that need it, and template -> places of its licence words.
+        self.postings: dict[bytes, list[int]] = {}
+        self.places: list[dict[bytes, list[int]]] = []
         for i, (_, _, keys, _) in enumerate(self.templates):
-            in_keys = {w for _, k in keys for w in k}
-            rare = sorted(in_keys, key=lambda w: (-idf.get(w, math.inf), w))[:RARE]
-            spots = [(w, at + j) for at, k in keys for j, w in enumerate(k) if w in rare]
-            self.needed.append(len(spots))
-            for w, j in spots:
-                self.postings.setdefault(w, []).append((i, j))
-        self.rare = frozenset(self.postings)
+            spots: dict[bytes, list[int]] = {}
+            for at, k in keys:
+                for j, w in enumerate(k):
+                    spots.setdefault(w, []).append(at + j)
+            self.places.append(spots)
+            for w in spots:
+                self.postings.setdefault(w, []).append(i)
+        self.known = frozenset(self.postings)
+        #: Licence words by falling IDF; ties in the words' order.
+        self.rank = {w: r for r, w in enumerate(sorted(self.known, key=lambda w: (-idf.get(w, math.inf), w)))}
+
+    def looked_up(self, held: frozenset[bytes]) -> tuple[list[int], list[bytes]]:
+        """Of a text's licence words: the templates that have all of theirs there, and the words to look up.
+
+        Words are taken by falling IDF, until each of these templates has RARE of its words among them, or all.
+        """
+        able = [i for i, spots in enumerate(self.places) if spots.keys() <= held]
+        short = {i: min(RARE, len(self.places[i])) for i in able}
+        taken = []
+        for w in sorted(held, key=self.rank.__getitem__) if able else ():
+            if of := [i for i in self.postings[w] if i in short]:
+                taken.append(w)
+                for i in of:
+                    short[i] -= 1
+                    if not short[i]:
+                        del short[i]
+                if not short:
+                    break
+        return able, taken
 
     def scan(self, ws: list[bytes]) -> Iterator[tuple[int, int, float]]:
         """(template, start, share of its words that stand at their places) of every place with all key phrases."""
-        if self.rare.isdisjoint(ws):
+        able, taken = self.looked_up(self.known.intersection(ws))
+        if not able:
             return
-        votes: Counter[tuple[int, int]] = Counter()
-        postings, rare = self.postings, self.rare
+        found: dict[bytes, list[int]] = {w: [] for w in taken}
         for at, w in enumerate(ws):
-            if w in rare:
-                for i, j in postings[w]:
-                    votes[i, at - j] += 1
-        for (i, start), n in votes.items():
+            if w in found:
+                found[w].append(at)
+        for i in able:
             _, ts, keys, _ = self.templates[i]
-            if n == self.needed[i] and all(start + at >= 0 and ws[start + at : start + at + len(k)] == k for at, k in keys):
-                yield i, start, sum(0 <= start + j < len(ws) and ws[start + j] == t for j, t in enumerate(ts)) / len(ts)
+            starts: set[int] | None = None
+            for w in taken:
+                for j in self.places[i].get(w, ()):
+                    here = {at - j for at in found[w]}
+                    starts = here if starts is None else starts & here
+            for start in starts or ():
+                if all(start + at >= 0 and ws[start + at : start + at + len(k)] == k for at, k in keys):
+                    yield i, start, sum(0 <= start + j < len(ws) and ws[start + j] == t for j, t in enumerate(ts)) / len(ts)
 
 
 def rarity(df: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, float]:
@@ -106,7 +135,7 @@ def rarity(df: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, floa
                 seen.update(vocabulary.intersection(words(x)))
         yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.binary()), pa.array([n, *seen.values()], pa.int64())], names=["word", "n"])
 
-    rows = df.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(named(text)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {None if r.word is None else bytes(r.word): r.n for r in rows}
     total = counts.pop(None, 0)
     return {w: math.log((1 + total) / (1 + counts.get(w, 0))) for w in vocabulary}
@@ -115,8 +144,10 @@ def rarity(df: DataFrame, text: str, vocabulary: set[bytes]) -> dict[bytes, floa
 def with_licenses(df: DataFrame, text: str = "text", base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES) -> DataFrame:
     """df with n_words, matches (label, first word's number, share of words, base or not), all places in each whole text.
 
-    Null and empty texts have no words and no matches. Rows and other columns stay; a clashing new name gets
-    underscores in front. No shuffle but that of the templates' words' counts.
+    Null and empty texts have no words and no matches; of long ones every word is read, and a text's places of looked up
+    words are held at once. Words of equal IDF are looked up in the words' order, matches stand by start, then template.
+    Rows, repeated ones too, and other columns stay; a clashing new name gets underscores in front. An empty table gives
+    an empty frame. No shuffle but that of the templates' words' counts.
     """
     match = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("base", T.BooleanType())])
     names = [free_name(df.columns, c) for c in ("n_words", "matches")]

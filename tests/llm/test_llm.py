@@ -118,6 +118,39 @@ def test_license_scan(spark, odd):
     assert license_scan.with_licenses(clash(odd, "matches")).count() == odd.count() and license_scan.labelled(odd.limit(0)).count() == 0
 
 
+def brute_places(ws, templates):
+    """(label, start) of every place with all key phrases, by comparing every template at every place."""
+    out = []
+    for t in templates:
+        for start in range(-len(t.words), len(ws)):
+            if all(start + at >= 0 and ws[start + at : start + at + len(k)] == k for at, k in t.key_places):
+                out.append((t.label, start))
+    return sorted(out)
+
+
+def test_license_index_finds_all_places():
+    rng = random.Random(5)
+    templates = (*license_scan.BASE, *license_scan.NOTICES)
+    vocabulary = sorted({w for t in templates for _, k in t.key_places for w in k})
+    for round_ in range(300):
+        idf = {w: rng.choice([0.0, 1.0, rng.random()]) for w in vocabulary if rng.random() < 0.9}
+        index = license_scan.Index(license_scan.BASE, license_scan.NOTICES, idf)
+        ws = []
+        for _ in range(rng.randrange(12)):
+            t = rng.choice(templates)
+            ws += rng.choice([t.words, t.words[rng.randrange(len(t.words)) :], [rng.choice(vocabulary)], [b"x"], [w for _, k in t.key_places for w in k]])
+        got = sorted((index.templates[i][0], start) for i, start, _ in index.scan(ws))
+        assert got == brute_places(ws, templates), round_
+
+
+def test_license_words_looked_up():
+    idf = {w: 1.0 for t in (*license_scan.BASE, *license_scan.NOTICES) for w in t.words} | {b"gnu": 5.0, b"mit": 4.0}
+    index = license_scan.Index(license_scan.BASE, license_scan.NOTICES, idf)
+    able, taken = index.looked_up(frozenset([b"gnu", b"mit", b"license", b"by"]))
+    assert [index.templates[i][0] for i in able] == ["mit"] and taken == [b"mit", b"license"], "gnu is rarer, but no template with it can stand here"
+    assert index.looked_up(frozenset([b"gnu", b"public"])) == ([], [])
+
+
 # Line dedup
 
 
