@@ -535,6 +535,24 @@ def test_top_k(spark):
     assert (best.scores == -np.sort(-scores, 1)[:, :5]).all(), "pairs that are pruned aren't among the best"
 
 
+@pytest.mark.parametrize(("fall", "most"), [(0.0, 1.0), (0.05, 0.7), (0.15, 0.4)])
+def test_top_k_saves_products(fall, most):
+    """The faster the dimensions' mass falls, the fewer products are made; the answer stays the same."""
+    rng = np.random.default_rng(8)
+    weight = np.exp(-fall * rng.permutation(64))[:, None]
+    m = np.floor(256 * rng.normal(0, 1, (64, 30_000)) * weight)
+    ids, chosen = np.arange(30_000), np.arange(0, 30_000, 50)
+    least = topk.floors(chosen, m[:, chosen], 5)
+    best = topk.Best(chosen, m[:, chosen], 5, least)
+    for at in range(0, 30_000, topk.VECTORS):
+        best.add(ids[at : at + topk.VECTORS], m[:, at : at + topk.VECTORS])
+    scores = m[:, chosen].T @ m
+    scores[np.arange(len(chosen)), chosen] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    assert (best.found == order).all() and (least <= best.scores[:, -1]).all()
+    assert best.made <= most * best.dense, best.made / best.dense
+
+
 # Chat formatting
 
 
