@@ -1,5 +1,6 @@
 """The training-data operators on small and odd tables, against brute force, round trips and held-out accuracy."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -255,8 +256,47 @@ def test_sharding(spark, documents, odd):
     assert sharding.assigned(documents.limit(0)).count() == 0
     again = sharding.with_shards(copies.repartition(7), shards=8)
     assert got.exceptAll(again).count() == 0, "the input's partitions don't matter"
-    cut = sharding.splitters([(k, 1.0) for k in range(100)] + [(500, 100.0)], 10, 40)
-    assert 500 in cut.full and {500, 501} <= set(cut.bounds)
+    cut = sharding.splitters([(k, 1.0) for k in range(100)] + [(500, 100.0)], 10)
+    assert {500, 501} <= set(cut) and len(cut) > 4
+    assert sharding.splitters([], 10) == []
+    check_shards(clash(odd, "size", "shard", "key", "g"), 3, sharding.with_shards(clash(odd, "size", "shard", "key", "g"), shards=3))
+
+
+def brute_shards(rows, shards):
+    """(doc_id, shard, slot) by one sort and running sums, for tables without a text that fills a range."""
+    recs = sorted((xxhash.xxh64_intdigest((t or "").encode(), 42), i, len((t or "").encode()) + 16) for i, t in rows)
+    recs = sorted((k - (1 << 64) if k >> 63 else k, i, n) for k, i, n in recs)
+    total, out, at, slots = sum(n for *_, n in recs), [], 0, {}
+    for _, group in itertools.groupby(recs, key=lambda r: r[0]):
+        group, start = list(group), at
+        small = sum(n for *_, n in group) <= sharding.TOGETHER * total / shards
+        for _, i, n in group:
+            shard = min(shards - 1, int((start if small else at) / (total / shards)))
+            out.append((i, shard, slots.setdefault(shard, 0)))
+            slots[shard] += 1
+            at += n
+    return sorted(out)
+
+
+def test_sharding_against_brute_force(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    copies = collections.Counter(t or "" for _, t in rows)
+    total = sum((len(t.encode()) + 16) * n for t, n in copies.items())
+    assert max((len(t.encode()) + 16) * n for t, n in copies.items() if n > 1) < sharding.OVERFULL * total / (8 * sharding.SPLITTERS)
+    got = sharding.with_shards(documents, shards=8).select("doc_id", "shard", "slot").collect()
+    assert sorted(tuple(r) for r in got) == brute_shards(rows, 8)
+
+
+def test_overfull_ranges_are_subdivided(spark, tmp_path):
+    rows = [(7, 1, j % 900) for j in range(3000)] + [(7, 2, 5)] * 2000 + [(k, 1, k) for k in range(100, 1100)]  # one key, one key and id, others
+    spark.createDataFrame(rows, "key long, size long, doc_id long").write.parquet(str(tmp_path / "t"))
+    slim = spark.read.parquet(str(tmp_path / "t")).select("*", F.xxhash64("doc_id").alias("salt"), F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("place"))
+    for bounds in ([], [500]):
+        placed, found = sharding.ranged(slim, bounds, 300)
+        assert placed.count() == len(rows) and sum(r["rows"] for r in found) == len(rows)
+        assert max(r.bytes for r in found) <= 300, "ranges are measured and cut until none is overfull"
+        keys = [(r.key_min, r.key_max) for r in found]
+        assert all(a[1] <= b[0] for a, b in zip(keys, keys[1:], strict=False)), "ranges stay in order"
 
 
 # SimHash
