@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from ..sources.formats import as_frame, csv_frame, csv_value
 from .frame import OrderedFrame, column, from_scan
 
 NS = "pl"
+#: A median is looked for in this share of the values on each side of the middle, by quantiles of this accuracy.
+BRACKET, ACCURACY = 0.0005, 10_000
 
 
 def pl(name: str, *params: Param, **more):
@@ -134,13 +136,47 @@ def _aggregate(name: str, columns, make, doc: str) -> None:
 
 _aggregate("sum", lambda f: [c for c in f.columns if isinstance(f.type_of(c), T.NumericType | T.BooleanType)], _sum, "Sums of the numeric columns; of none, 0.")
 _aggregate("mean", _numeric, lambda c, _: F.avg(c).cast("double"), "Means of the numeric columns.")
-_aggregate("median", _numeric, lambda c, _: F.median(c).cast("double"), "Exact medians of the numeric columns, between the middle two if they are two.")
 _aggregate("min", _orderable, lambda c, k: _extreme(F.min, c, k), "Least values of all columns.")
 _aggregate("max", _orderable, lambda c, k: _extreme(F.max, c, k), "Greatest values of all columns.")
 _aggregate("std", _numeric, lambda c, _: F.stddev_samp(c), "Sample standard deviations of the numeric columns; null for a single row.")
 _aggregate("count", lambda f: f.columns, lambda c, _: F.count(c), "How many values of each column aren't null.")
 
 
+@pl("median")
+def median(frame: OrderedFrame):
+    """Exact medians of the numeric columns, between the middle two if they are two.
+
+    No task holds all values of a column: approximate quantiles give a narrow bracket of values around the middle, rows
+    below and in it are counted, and only the values of the part that has the middle ranks are put in order. How good the
+    quantiles are decides how narrow that part is; the counts make it the right one. The rows are read three times.
+    """
+    names = _numeric(frame)
+    if not names:
+        raise EngineError("argument", "there is no column to aggregate")
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), column(c).cast("double").alias("v")) for i, c in enumerate(names))))
+    values = frame.visible().select(pairs.alias("p")).select("p.i", "p.v").filter(F.col("v").isNotNull())
+    around = [0.5 - BRACKET, 0.5 + BRACKET]
+    v, low, high = F.col("v"), F.col("b")[0], F.col("b")[1]
+    # One row a column.
+    bracket = F.broadcast(values.groupBy("i").agg(F.percentile_approx("v", around, ACCURACY).alias("b")))
+    counted = values.join(bracket, "i").groupBy("i").agg(F.first("b").alias("b"), F.count_if(v < low).alias("below"), F.count_if(v <= high).alias("upto"), F.count(F.lit(1)).alias("n"))
+    middle = {"k1": F.floor((F.col("n") - 1) / 2), "k2": F.floor(F.col("n") / 2)}
+    counted = counted.withColumns(middle)
+
+    def part(k: str) -> Column:
+        return F.when(F.col(k) < F.col("below"), 0).when(F.col(k) < F.col("upto"), 1).otherwise(2)
+
+    counted = counted.select("*", part("k1").alias("p1"), part("k2").alias("p2"))
+    before = F.when(F.col("p1") == 0, F.lit(0)).when(F.col("p1") == 1, F.col("below")).otherwise(F.col("upto"))
+    mine = F.when(v < low, 0).when(v <= high, 1).otherwise(2)
+    near = values.join(F.broadcast(counted.select("*", before.alias("before"))), "i").filter((mine >= F.col("p1")) & (mine <= F.col("p2")))
+    kept = near.groupBy("i", "v").agg(F.count(F.lit(1)).alias("times"), *(F.first(c).alias(c) for c in ("k1", "k2", "before")))
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ends = kept.select("i", "v", "k1", "k2", upto.alias("upto")).groupBy("i").agg(*(F.min(F.when(F.col("upto") > F.col(k), v)).alias(k) for k in ("k1", "k2")))
+    found = ends.select("i", F.when(F.col("k1") == F.col("k2"), F.col("k1")).otherwise(F.col("k1") * 0.5 + F.col("k2") * 0.5).alias("m"))
+    return from_scan(found.agg(*(F.max(F.when(F.col("i") == i, F.col("m"))).alias(c) for i, c in enumerate(names))))
+
+
 @pl("describe")
 def describe(frame: OrderedFrame):
     """Mean, min, max and std of each numeric column, in one row."""

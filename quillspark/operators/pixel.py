@@ -21,6 +21,10 @@ COLORS = {"L8": (1, 255), "La8": (2, 255), "Rgb8": (3, 255), "Rgba8": (4, 255),
 LUMA = (2126, 7152, 722)
 
 
+#: A row, and its first and last pixel.
+Span = tuple[int, int, int]
+
+
 @dataclass(frozen=True)
 class PixelFrame:
     df: DataFrame
@@ -89,6 +93,14 @@ class PixelFrame:
         after = F.greatest(F.lit(0), F.col(axis) + radius - (size - 1))
         return F.concat(F.array_repeat(F.element_at(found, 1), before), found, F.array_repeat(F.element_at(found, -1), after))
 
+    def box_sum(self, c: str, axis: str, radius: int) -> Column:
+        """The sum of the values within a radius along an axis; edges repeat."""
+        size = self.width if axis == "x" else self.height
+        near = self.along(axis).rowsBetween(-radius, radius)
+        before = F.greatest(F.lit(0), F.lit(radius) - F.col(axis))
+        after = F.greatest(F.lit(0), F.col(axis) + radius - (size - 1))
+        return F.sum(c).over(near) + F.first(c).over(near) * before + F.last(c).over(near) * after
+
     def extreme(self, radius: int, f) -> PixelFrame:
         """Least or greatest brightness within a square: along rows, then along columns. Edges add nothing new."""
         image = self.luma()
@@ -110,15 +122,18 @@ class PixelFrame:
         image = self.weighted(kernel_weights(self.height, height, kernel, support), "y", height, lambda c: c)
         return image.weighted(kernel_weights(self.width, width, kernel, support), "x", width, lambda c: F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(float(self.top))) + F.lit(0.5 + 1e-9)).cast("int"))
 
-    def painted(self, points: list[tuple[int, int]], color: tuple[int, int, int, int]) -> PixelFrame:
-        """Points inside the image in a colour; as many at most as the image has."""
+    def painted(self, spans: list[Span], color: tuple[int, int, int, int]) -> PixelFrame:
+        """Spans of rows in a colour. Their number is bounded by the image's width and height, so they are broadcast."""
         image = self.rgba()
-        inside = sorted({(x, y) for x, y in points if 0 <= x < self.width and 0 <= y < self.height})
-        if not inside:
+        rows: dict[int, set[tuple[int, int]]] = {}
+        for y, first, last in spans:
+            if 0 <= y < self.height and first < self.width and last >= 0 and first <= last:
+                rows.setdefault(y, set()).add((max(first, 0), min(last, self.width - 1)))
+        if not rows:
             return image
-        table = F.broadcast(self.df.sparkSession.createDataFrame([(x, y, True) for x, y in inside], "x int, y int, hit boolean"))
-        df = image.df.join(table, ["x", "y"], "left")
-        return replace(image, df=df).where(F.col("hit").isNotNull(), color)
+        table = F.broadcast(self.df.sparkSession.createDataFrame([(y, sorted(of)) for y, of in rows.items()], "y int, spans array<struct<first: int, last: int>>"))
+        hit = F.exists("spans", lambda s: F.col("x").between(s["first"], s["last"]))
+        return replace(image, df=image.df.join(table, "y", "left")).where(F.coalesce(hit, F.lit(False)), color)
 
     def where(self, test: Column, color: tuple[int, int, int, int]) -> PixelFrame:
         image = self.rgba()
@@ -175,33 +190,47 @@ def lanczos3(x: float) -> float:
 KERNELS = {"triangle": (triangle, 1.0), "catmullrom": (catmullrom, 2.0), "gaussian": (gaussian(0.5), 3.0), "lanczos3": (lanczos3, 3.0)}
 
 
-def line_points(x1: int, y1: int, x2: int, y2: int) -> list[tuple[int, int]]:
+def line_spans(x1: int, y1: int, x2: int, y2: int, width: int, height: int) -> list[Span]:
+    """A line's pixels: for each place of the longer axis that the image has, the nearest place of the other one."""
     steep = abs(y2 - y1) > abs(x2 - x1)
     if steep:
         x1, y1, x2, y2 = y1, x1, y2, x2
     if x1 > x2:
         x1, y1, x2, y2 = x2, y2, x1, y1
     dx, dy, step = x2 - x1, abs(y2 - y1), 1 if y1 < y2 else -1
-    out, y, error = [], y1, dx / 2
-    for x in range(x1, x2 + 1):
-        out.append((y, x) if steep else (x, y))
-        error -= dy
-        if error < 0:
-            y, error = y + step, error + dx
+    out = []
+    for x in range(max(x1, 0), min(x2, (height if steep else width) - 1) + 1):
+        # Halves go to the place nearer to the start.
+        y = y1 + step * ((2 * (x - x1) * dy + dx - 1) // (2 * dx) if dx else 0)
+        out.append((x, y, y) if steep else (y, x, x))
+    return out
+
+
+def _arc(r: int, x: int) -> int:
+    """The height of a circle's outline at a distance x from its centre, rounded to the nearest pixel."""
+    return (1 + math.isqrt(4 * (r * r - x * x))) // 2
+
+
+def circle_spans(cx: int, cy: int, r: int, width: int, height: int) -> list[Span]:
+    """A circle's pixels: each column's and each row's within an eighth of the circle from an axis."""
+    out = []
+    for x in range(max(0, cx - r), min(width - 1, cx + r) + 1):
+        d = abs(x - cx)
+        if d <= (h := _arc(r, d)):
+            out += [(cy + h, x, x), (cy - h, x, x)]
+    for y in range(max(0, cy - r), min(height - 1, cy + r) + 1):
+        d = abs(y - cy)
+        if d <= (h := _arc(r, d)):
+            out += [(y, cx + h, cx + h), (y, cx - h, cx - h)]
     return out
 
 
-def circle_points(cx: int, cy: int, r: int, filled: bool) -> list[tuple[int, int]]:
-    """By the midpoint algorithm; filled: with all points between."""
-    out, x, y, p = [], 0, r, 1 - r
-    while x <= y:
-        for a, b in ((x, y), (y, x)):
-            for s in (b, -b):
-                out += [(cx + i, cy + s) for i in range(-a, a + 1)] if filled else [(cx + a, cy + s), (cx - a, cy + s)]
-        x += 1
-        if p < 0:
-            p += 2 * x + 1
-        else:
-            y -= 1
-            p += 2 * (x - y) + 1
+def disc_spans(cx: int, cy: int, r: int, height: int) -> list[Span]:
+    """All pixels between those of a circle, row by row."""
+    out = []
+    for y in range(max(0, cy - r), min(height - 1, cy + r) + 1):
+        d = abs(y - cy)
+        # Near the centre the row's own outline; near the poles the widest column whose outline is at this height.
+        half = h if d <= (h := _arc(r, d)) else math.isqrt(r * r - d * d + d - 1)
+        out.append((y, cx - half, cx + half))
     return out

@@ -14,7 +14,7 @@ from ..errors import EngineError
 from ..functions.values import to_bytes
 from ..plans.registry import BUILTIN, Param
 from ..sources import codecs
-from .pixel import KERNELS, PixelFrame, check_size, circle_points, gaussian, line_points
+from .pixel import KERNELS, PixelFrame, check_size, circle_spans, disc_spans, gaussian, line_spans
 
 NS = "img"
 U32 = {"low": 0, "high": (1 << 32) - 1}
@@ -365,8 +365,7 @@ def boxfilt(image: PixelFrame, radius: int):
     _positive(radius)
     image = image.luma()
     for axis in ("x", "y"):
-        total = F.aggregate(image.neighbours("c0", axis, radius), F.lit(0).cast("int"), lambda a, v: a + v)
-        image = image.map([total])
+        image = image.map([image.box_sum("c0", axis, radius)])
     return image.map([F.floor(F.col("c0") / F.lit((2 * radius + 1) ** 2))])
 
 
@@ -454,7 +453,7 @@ def canny(image: PixelFrame, low: float, high: float):
 @img("draw_line", *(Param(n, "int", **I32) for n in ("x1", "y1", "x2", "y2")), Param("color"))
 def draw_line(image: PixelFrame, x1: int, y1: int, x2: int, y2: int, color: str):
     """A line from point to point."""
-    return image.painted(line_points(x1, y1, x2, y2), parse_color(color))
+    return image.painted(line_spans(x1, y1, x2, y2, image.width, image.height), parse_color(color))
 
 
 def _inside(x: int, y: int, width: int, height: int) -> Column:
@@ -478,13 +477,13 @@ def draw_filled_rect(image: PixelFrame, x: int, y: int, width: int, height: int,
 @img("draw_circle", Param("x", "int", **I32), Param("y", "int", **I32), Param("radius", "int", **I32), Param("color"))
 def draw_circle(image: PixelFrame, x: int, y: int, radius: int, color: str):
     """A circle's outline."""
-    return image.painted(circle_points(x, y, radius, False), parse_color(color))
+    return image.painted(circle_spans(x, y, radius, image.width, image.height), parse_color(color))
 
 
 @img("draw_filled_circle", Param("x", "int", **I32), Param("y", "int", **I32), Param("radius", "int", **I32), Param("color"))
 def draw_filled_circle(image: PixelFrame, x: int, y: int, radius: int, color: str):
     """A disc."""
-    return image.painted(circle_points(x, y, radius, True), parse_color(color))
+    return image.painted(disc_spans(x, y, radius, image.height), parse_color(color))
 
 
 @img("draw_text", Param("x", "int", **I32), Param("y", "int", **I32), Param("text"), Param("size", "float"), Param("color"))

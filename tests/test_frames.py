@@ -1,8 +1,10 @@
 import math
+import random
 from datetime import UTC, date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.engine import Engine
 from quillspark.errors import EngineError
@@ -132,3 +134,23 @@ def test_plan_is_one_scan(spark):
     assert "l_comment" not in plan and "l_shipdate" not in plan.split("ReadSchema")[1]
     summed = e.frame("-R/lineitem.parquet/-/ns-pl/sort-l_quantity/select_columns-l_quantity/sum")._jdf.queryExecution().executedPlan().toString()
     assert "Sort" not in summed and "row_index" not in summed
+
+
+def test_median_of_any_values(spark, engine):
+    """Exact whatever the values: ties, infinities, NaN, few or no rows, and quantiles that miss the middle."""
+    from quillspark.operators import frame_ops
+    from quillspark.operators.frame import from_scan
+
+    rng = random.Random(2)
+    for values in ([], [None], [3.0], [1.0, 2.0], [1.0, None, 5.0], [0.0] * 50 + [1.0] * 50, [float("inf"), float("-inf")], [float("inf")] * 3, [1.0, float("nan"), float("nan")], [rng.random() for _ in range(2001)], [float(rng.randrange(5)) for _ in range(2000)]):
+        df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "a double, b int").repartition(3)
+        want = df.agg(F.median("a").alias("a"), F.median("b").alias("b")).first()
+        for bracket in (frame_ops.BRACKET, -0.4):  # the second one is beside the middle
+            kept, frame_ops.BRACKET = frame_ops.BRACKET, bracket
+            try:
+                got = engine.apply("ns-pl/median", from_scan(df)).frame().first()
+            finally:
+                frame_ops.BRACKET = kept
+            assert str(got) == str(want), values[:5]
+    plan = engine.apply("ns-pl/median", from_scan(df)).frame()._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan, "no aggregate keeps all values"

@@ -3,7 +3,7 @@ import pytest
 
 from quillspark.engine import Engine
 from quillspark.errors import EngineError
-from quillspark.operators.pixel import circle_points, kernel_weights, lanczos3, line_points
+from quillspark.operators.pixel import circle_spans, disc_spans, kernel_weights, lanczos3, line_spans
 from quillspark.operators.pixel_ops import from_array, parse_color
 from quillspark.sources import codecs
 from quillspark.sources.store import MemoryStore
@@ -75,6 +75,57 @@ def test_neighbourhoods(engine, a):
             run(engine, a, wrong)
 
 
+def line_points(x1, y1, x2, y2):
+    """Step by step, with the error that a step leaves."""
+    steep = abs(y2 - y1) > abs(x2 - x1)
+    if steep:
+        x1, y1, x2, y2 = y1, x1, y2, x2
+    if x1 > x2:
+        x1, y1, x2, y2 = x2, y2, x1, y1
+    dx, dy, step = x2 - x1, abs(y2 - y1), 1 if y1 < y2 else -1
+    out, y, error = [], y1, dx / 2
+    for x in range(x1, x2 + 1):
+        out.append((y, x) if steep else (x, y))
+        error -= dy
+        if error < 0:
+            y, error = y + step, error + dx
+    return out
+
+
+def circle_points(cx, cy, r, filled):
+    """By the midpoint algorithm; filled: with all points between."""
+    out, x, y, p = [], 0, r, 1 - r
+    while x <= y:
+        for u, v in ((x, y), (y, x)):
+            for s in (v, -v):
+                out += [(cx + i, cy + s) for i in range(-u, u + 1)] if filled else [(cx + u, cy + s), (cx - u, cy + s)]
+        x += 1
+        if p < 0:
+            p += 2 * x + 1
+        else:
+            y -= 1
+            p += 2 * (x - y) + 1
+    return out
+
+
+def seen(spans, width, height):
+    return {(x, y) for y, first, last in spans if 0 <= y < height for x in range(max(0, first), min(width - 1, last) + 1)}
+
+
+def test_spans_are_the_points_in_the_image():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        w, h, r = (int(v) for v in rng.integers(1, 60, 3))
+        x1, y1, x2, y2 = (int(v) for v in rng.integers(-70, 130, 4))
+        inside = {(x, y) for x, y in line_points(x1, y1, x2, y2) if 0 <= x < w and 0 <= y < h}
+        assert seen(line_spans(x1, y1, x2, y2, w, h), w, h) == inside, (x1, y1, x2, y2, w, h)
+    for r in [-1, *range(130), 500, 999]:
+        w, h, cx, cy = (int(v) for v in rng.integers([1, 1, -r - 3, -r - 3], [90, 90, r + 9, r + 9]))
+        for filled, spans in ((False, circle_spans(cx, cy, r, w, h)), (True, disc_spans(cx, cy, r, h))):
+            assert seen(spans, w, h) == {(x, y) for x, y in circle_points(cx, cy, r, filled) if 0 <= x < w and 0 <= y < h}, (cx, cy, r, filled)
+    assert len(line_spans(-(1 << 31), -(1 << 31), (1 << 31) - 1, (1 << 31) - 1, 50, 50)) == 50 and len(disc_spans(5, 5, (1 << 31) - 1, 50)) == 50, "as many as the image has"
+
+
 def test_drawing(engine, a):
     out = run(engine, a, "draw_filled_rect-~2-3-5-50-red")
     assert (out[3:, :3] == (255, 0, 0, 255)).all() and (out[:3] == a[:3]).all()
