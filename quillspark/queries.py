@@ -123,15 +123,19 @@ def _(spark, d):
     return e.apply("ns-pl/from_csv", e.evaluate("-R/region.parquet/-/ns-pl/to_csv/ns-pl/to_text").get()).frame()
 
 
-def _folder(spark: SparkSession, d: str) -> Engine:
-    """The tables, and a folder of its own to write into."""
+def _shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach; only a local master without a checkpoint folder gets a temporary one."""
     from pathlib import Path
 
     shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    base = f"{shared}/store-{uuid.uuid4().hex}" if shared else Path(tempfile.mkdtemp(prefix="store-")).as_uri()
-    return Engine(spark, Router([FileStore(spark, base, parse_key("out")), MemoryStore(parse_key("mem")), FileStore(spark, d)]))
+    return f"{shared}/store-{uuid.uuid4().hex}" if shared else Path(tempfile.mkdtemp(prefix="store-")).as_uri()
+
+
+def _folder(spark: SparkSession, d: str, **options) -> Engine:
+    """The tables, and a folder of its own to write into."""
+    return Engine(spark, Router([FileStore(spark, _shared_folder(spark), parse_key("out")), MemoryStore(parse_key("mem")), FileStore(spark, d)]), **options)
 
 
 @custom("store_parquet", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P'")
@@ -334,6 +338,100 @@ def _(spark, d):
     return spark.createDataFrame(rows, "namespace string, name string").filter("namespace in ('dep', 'img', 'lui')").groupBy("namespace").agg(F.count(F.lit(1)).alias("n"))
 
 
+# What is stored, and results that are kept
+
+query("stored", "-R-stored/nation.parquet/-/ns-pl/gt-n_nationkey-20", "SELECT * FROM nation WHERE n_nationkey > 20")
+query("cwd_header", "-R-cwd/x/y/-R/../../nation.parquet/-/ns-pl/gt-n_nationkey-~X~-R/../../region.parquet/-/ns-pl/nrows~E/select_columns-n_name", "SELECT n_name FROM nation WHERE n_nationkey > (SELECT count(*) FROM region)")
+
+
+@custom("stored_metadata", "SELECT 'region.parquet' AS key, 'source' AS status, 'region.parquet' AS filename")
+def _(spark, d):
+    m = Engine(spark, d).evaluate("-R-stored_meta/region.parquet").get()
+    return values(spark, **{k: m[k] for k in ("key", "status", "filename")})
+
+
+@custom("realm", "SELECT 'here' AS text, (SELECT count(*) FROM orders) AS n")
+def _(spark, d):
+    e = Engine(spark, d)
+    e.registry.command("where", realm="there")(lambda c, s: "here")
+    e.registry.command("where")(lambda c, s: "elsewhere")
+    return values(spark, text=e.evaluate("-there/where").get(), n=e.frame("-R/orders.parquet/-/ns-pl/nrows").first()[0])
+
+
+@custom("injected", "SELECT c_custkey FROM customer WHERE c_nationkey = 3")
+def _(spark, d):
+    e = Engine(spark, d)
+    e.registry.command("mine", Param("nation", injected="payload"), payload=True)(lambda c, s, nation: from_scan(s.value.visible().filter(F.col("c_nationkey") == nation).select("c_custkey")))
+    return e.evaluate_immediately("-R/customer.parquet/-/mine", 3).frame()
+
+
+@custom("expiration", "SELECT * FROM (VALUES ('in 0 s', 2::BIGINT), ('in 1 h', 1), ('never', 1)) AS t(expires, runs)")
+def _(spark, d):
+    e, rows = Engine(spark, d), []
+    for i, expires in enumerate(("in 0 s", "in 1 h", "never")):
+        runs = []
+        e.registry.command(f"made{i}", expires=expires)(lambda c, s, runs=runs: runs.append(1) or "x")
+        e.evaluate(f"made{i}"), e.evaluate(f"made{i}")
+        rows.append((expires, len(runs)))
+    return spark.createDataFrame(rows, "expires string, runs long")
+
+
+@custom("cascade", "SELECT * FROM (VALUES ('-R/mem/a.txt/-/to_text', 'expired'), ('-R/mem/b.txt/-/to_text', 'ready')) AS t(query, status)")
+def _(spark, d):
+    e = _folder(spark, d)
+    for name in "ab":
+        e.set_value(f"mem/{name}.txt", name)
+    made = [e.asset(f"-R/mem/{name}.txt/-/to_text") for name in "ab"]
+    e.set_value("mem/a.txt", "new")
+    return spark.createDataFrame([(a.query.encode(), a.status) for a in made], "query string, status string")
+
+
+@custom("override", "SELECT 'override' AS status, 5::BIGINT AS n, 5::BIGINT AS dependent")
+def _(spark, d):
+    e = _with_recipes(spark, d)
+    status = e.set_value("mem/big.parquet", from_scan(spark.range(5).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_totalprice")))).status
+    return values(spark, status=status, n=e.frame("-R/mem/big.parquet/-/ns-pl/nrows").first()[0], dependent=e.frame("-R/mem/n.csv").select("o_orderkey").first()[0])
+
+
+@custom("kept_frames", "SELECT o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def _(spark, d):
+    e = _folder(spark, d, keep="out/kept")
+    text = "-R/orders.parquet/-/ns-pl/eq-o_orderstatus-F/select_columns-o_custkey-o_totalprice"
+    e.evaluate(text)
+    again = Engine(spark, e.store, keep="out/kept").evaluate(text)  # reads what the first engine wrote
+    assert again.metadata.path is not None
+    return again.frame()
+
+
+@custom("notifications", "SELECT * FROM (VALUES ('status'), ('log'), ('progress')) AS t(kind)")
+def _(spark, d):
+    e, seen = Engine(spark, d), []
+    e.hub.subscribe(seen.append)
+    e.registry.command("talk")(lambda c, s: (c.say("so far"), c.progress(1, 2)) and "done")
+    e.evaluate("talk")
+    return spark.createDataFrame([(k,) for k in sorted({x.kind for x in seen})], "kind string")
+
+
+_WRONG = {
+    "a b": "parse", "-R-what/region.parquet": "not-supported", "-R/none.parquet": "not-found", "-R/region.parquet/-/none": "unknown-command", "-R/region.parquet/-/ns-pl/select_columns-none": "argument",
+    "-R/region.parquet/-/ns-pl/head-99999999999999999999": "argument", "-R/region.parquet/-/ns-pl/head-~X~-R/region.parquet~E": "conversion", "-R/region.parquet/-/ns-img/dims": "conversion",
+}
+
+
+@custom("errors", "SELECT * FROM (VALUES " + ", ".join(f"('{q}', '{kind}')" for q, kind in _WRONG.items()) + ") AS t(query, type)")
+def _(spark, d):
+    from .errors import EngineError
+
+    e, rows = Engine(spark, d), []
+    for text in _WRONG:
+        try:
+            e.evaluate(text)
+            rows.append((text, "none"))
+        except EngineError as error:
+            rows.append((text, error.type))
+    return spark.createDataFrame(rows, "query string, type string")
+
+
 # Extensions on frames
 
 query("contains", "-R/part.parquet/-/ns-pl/contains-p_type-R/select_columns-p_partkey-p_type", "SELECT p_partkey, p_type FROM part WHERE contains(p_type, 'R')")
@@ -361,9 +459,11 @@ def _(spark, d):
     source = spark.read.parquet(f"{d}/events.parquet").schema
     stream = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(d)
     out = apply_to_stream(Engine(spark, d), stream, "ns-pl/eq-event_type-click/select_columns-event_id")
-    running = out.writeStream.format("memory").queryName("engine_stream_filter").outputMode("append").trigger(availableNow=True).start()
+    # The executors write the rows; none come to the driver.
+    folder = _shared_folder(spark)
+    running = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows")
     running.awaitTermination()
-    return spark.table("engine_stream_filter")
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
 # The tree of elements

@@ -129,7 +129,10 @@ def as_frame(context, state) -> OrderedFrame:
         return value
     if isinstance(value, DataFrame):
         return from_scan(value)
-    if isinstance(value, str | bytes):
+    name = (state.metadata.data_format or "").lower()
+    if value is None and state.metadata.path and frame_format(name)[0] != "csv":  # a stored file, whose bytes nobody has read
+        return read_frame(context.spark, state.metadata.path, name)
+    if isinstance(value, str | bytes) or value is None and state.metadata.path:
         return csv_frame(context, state, None)
     raise EngineError("conversion", f"a value of type {type(value).__name__} isn't a frame")
 
