@@ -1,12 +1,13 @@
 """Chat formatting as prefix trees.
 
-Conversations that share their initial turns are merged: a pack holds a tree of turns depth first, each shared turn
-once. Each node has the position of its first character in its conversation and the intervals of the pack's text that
-it may attend to, which are its ancestors. Packs are bounded, as training sequences are: a tree that outgrows one goes
-on in the next, where the open path stands again. Conversations of very many turns are cut into segments; a segment
-goes on from a `base`, a digest of all turns before it, and only segments of one base share turns.
-
-A turn is written `<s>role\\ntext</s>\\n`. Inside roles and texts a backslash is doubled and one is put into every
+Conversations that share their initial turns are merged: a pack holds the tokens of a tree of turns depth first, those
+of a shared turn once. Each token has its position id, its place in its conversation, and each node the intervals of the
+pack's tokens that it may attend to, which are its ancestors. Packs are bounded, as training sequences are: a tree that
+outgrows one goes on in the next, where the open path stands again. Conversations of very many turns are cut into
+segments; a segment goes on from a `base`, a digest of all turns before it, and only segments of one base share turns.
+
+Tokens are those of a byte-level BPE vocabulary, or code points without one. A turn is written `<s>role\\ntext</s>\\n`;
+what stands before its text, the text, and what stands behind are encoded by themselves, so that tokens end there. Inside roles and texts a backslash is doubled and one is put into every
 control string behind its first character, so that no control string stands there; taking backslashes out restores the
 original.
 """
@@ -14,19 +15,25 @@ original.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import loaded
+from .common import given_back, named
+
 #: Control strings of this template and of other common ones.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ASSISTANT = "assistant"
-#: Turns and characters after which a conversation's segment ends, and characters after which a pack does.
-SEGMENT_TURNS, SEGMENT_CHARS, PACK_CHARS = 256, 1 << 20, 1 << 20
+#: Turns and tokens after which a conversation's segment ends, and tokens and leaves after which a pack does.
+SEGMENT_TURNS, SEGMENT_TOKENS, PACK_TOKENS, PACK_LEAVES = 256, 1 << 18, 1 << 18, 10_000
 _DIGEST = 16
 
 
@@ -61,12 +68,12 @@ def turns(text: str) -> Iterator[tuple[str, str]]:
 
 
 _SPAN = T.StructType([T.StructField("begin", T.LongType()), T.StructField("until", T.LongType())])
-_TURN = T.StructType([T.StructField("text", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("until", T.LongType())])
+_TURN = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("begin", T.LongType()), T.StructField("until", T.LongType())])
 _SEGMENT = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("base", T.BinaryType()), T.StructField("path", T.BinaryType()), T.StructField("position", T.LongType()), T.StructField("turns", T.ArrayType(_TURN))])
 _NODE = T.StructType([T.StructField("parent", T.LongType()), T.StructField("begin", T.LongType()), T.StructField("until", T.LongType()), T.StructField("position", T.LongType()), T.StructField("loss", _SPAN), T.StructField("attends", T.ArrayType(_SPAN))])
 _LEAF = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("node", T.LongType())])
-_PACK = T.StructType([T.StructField("base", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("nodes", T.ArrayType(_NODE)), T.StructField("leaves", T.ArrayType(_LEAF))])
-_READ = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("text", T.StringType()), T.StructField("loss", T.ArrayType(_SPAN))])
+_PACK = T.StructType([T.StructField("base", T.BinaryType()), T.StructField("ids", T.BinaryType()), T.StructField("position_ids", T.BinaryType()), T.StructField("nodes", T.ArrayType(_NODE)), T.StructField("leaves", T.ArrayType(_LEAF))])
+_READ = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("loss", T.ArrayType(_SPAN))])
 _SUMS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
 
 
@@ -76,8 +83,27 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+#: A vocabulary's file and the pattern that cuts texts for it.
+Vocabulary = tuple[str, str]
+
+
+def coder(vocabulary: Vocabulary | None) -> tuple[Callable[[str], bytes], Callable[[bytes], str]]:
+    """How a text becomes ids (little-endian unsigned 32-bit integers), and ids a text."""
+    if vocabulary is None:
+        return lambda text: text.encode("utf-32-le"), lambda ids: ids.decode("utf-32-le")
+    (bpe, pieces), split = loaded(vocabulary[0]), regex.compile(vocabulary[1]).findall
+
+    def encode(text: str) -> bytes:
+        found = split(text)
+        if sum(map(len, found)) != len(text):
+            raise ValueError("the pattern leaves out a part of a text")
+        return b"".join(map(pieces.__getitem__, found))
+
+    return encode, lambda ids: bpe.decode(array("I", ids)).decode()
+
+
 def _batches(rows: Iterator[tuple[int, dict]], schema: T.StructType, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Record batches of (size, row) pairs, each of about `most` characters."""
+    """Record batches of (size, row) pairs, each of about `most` tokens. At the end the worker gives memory back."""
     kind, held, size = _arrow(schema), [], 0
     for n, row in rows:
         held.append(row)
@@ -87,6 +113,8 @@ def _batches(rows: Iterator[tuple[int, dict]], schema: T.StructType, most: int =
             held, size = [], 0
     if held:
         yield pa.RecordBatch.from_pylist(held, schema=kind)
+    held = rows = None
+    given_back()
 
 
 def _rows(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[dict]:
@@ -95,28 +123,32 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[dict]:
             yield from batch.slice(at, n).to_pylist()
 
 
-def segments(rows: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
-    """Each conversation's formatted turns, in bounded segments, with digests of all turns up to each."""
+def segments(rows: DataFrame, conv_id: str, turn: str, role: str, text: str, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Each conversation's formatted turns as tokens, in bounded segments, with digests of all turns up to each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+        encode, _ = coder(vocabulary)
         now, open_ = None, False
         for r in _rows(batches):
             if not open_ or r["conv_id"] != now:
                 if open_:
                     yield size, _segment(now, k, base, path, position, held)
                 now, open_, k, base, path, position, held, size, ahead = r["conv_id"], True, 0, b"", [], 0, [], 0, 0
-            elif len(held) >= SEGMENT_TURNS or size >= SEGMENT_CHARS:
+            elif len(held) >= SEGMENT_TURNS or size >= SEGMENT_TOKENS:
                 yield size, _segment(now, k, base, path, position, held)
                 k, base, path, position, held, size = k + 1, path[-1], [], ahead, [], 0
             whole, begin, until = formatted(r["role"] or "", r["text"] or "")
             before = path[-1] if path else base
             path.append(blake2b(before + b"\0" + whole.encode(), digest_size=_DIGEST).digest())
-            held.append({"text": whole, "begin": begin if r["role"] == ASSISTANT else 0, "until": until if r["role"] == ASSISTANT else 0})
-            size, ahead = size + len(whole), ahead + len(whole)
+            head, body, tail = encode(whole[:begin]), encode(whole[begin:until]), encode(whole[until:])
+            loss = (len(head) // 4, (len(head) + len(body)) // 4) if r["role"] == ASSISTANT else (0, 0)
+            held.append({"ids": head + body + tail, "begin": loss[0], "until": loss[1]})
+            n = _tokens(held[-1])
+            size, ahead = size + n, ahead + n
         if open_:
             yield size, _segment(now, k, base, path, position, held)
 
-    ordered = rows.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    ordered = rows.select(named(conv_id).cast("long").alias("conv_id"), named(turn).alias("turn"), named(role).cast("string").alias("role"), named(text).cast("string").alias("text"))
     return ordered.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lambda batches: _batches(cut(batches), _SEGMENT), _SEGMENT)
 
 
@@ -124,11 +156,15 @@ def _segment(conv_id, k, base, path, position, held) -> dict:
     return {"conv_id": conv_id, "segment": k, "base": base, "path": b"".join(path), "position": position, "turns": held}
 
 
+def _tokens(turn: dict) -> int:
+    return len(turn["ids"]) // 4
+
+
 class Pack:
     """A tree of turns, written depth first."""
 
     def __init__(self, base: bytes):
-        self.base, self.texts, self.size, self.nodes, self.leaves = base, [], 0, [], []
+        self.base, self.ids, self.size, self.nodes, self.leaves = base, [], 0, [], []
         self.open: list[tuple[bytes, int]] = []  # digest and node of the turns on the path to the last one
 
     def add(self, s: dict) -> None:
@@ -137,15 +173,15 @@ class Pack:
         while shared < min(len(path), len(self.open)) and path[shared] == self.open[shared][0]:
             shared += 1
         del self.open[shared:]
-        position = s["position"] + sum(len(t["text"]) for t in s["turns"][:shared])
+        position = s["position"] + sum(map(_tokens, s["turns"][:shared]))
         for digest, t in zip(path[shared:], s["turns"][shared:], strict=True):
             parent = self.open[-1][1] if self.open else -1
-            begin, until = self.size, self.size + len(t["text"])
+            begin, until = self.size, self.size + _tokens(t)
             loss = {"begin": begin + t["begin"], "until": begin + t["until"]}
             self.nodes.append({"parent": parent, "begin": begin, "until": until, "position": position, "loss": loss, "attends": self._attends(parent)})
             self.open.append((digest, len(self.nodes) - 1))
-            self.texts.append(t["text"])
-            self.size, position = until, position + len(t["text"])
+            self.ids.append(t["ids"])
+            self.size, position = until, position + _tokens(t)
         self.leaves.append({"conv_id": s["conv_id"], "segment": s["segment"], "node": self.open[-1][1]})
 
     def _attends(self, parent: int) -> list[dict]:
@@ -158,15 +194,16 @@ class Pack:
         return [*p["attends"], {"begin": p["begin"], "until": p["until"]}]
 
     def row(self) -> dict:
-        return {"base": self.base, "text": "".join(self.texts), "nodes": self.nodes, "leaves": self.leaves}
+        places = [np.arange(n["position"], n["position"] + n["until"] - n["begin"], dtype="<u4").tobytes() for n in self.nodes]
+        return {"base": self.base, "ids": b"".join(self.ids), "position_ids": b"".join(places), "nodes": self.nodes, "leaves": self.leaves}
 
 
-def packs(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", pack_chars: int = PACK_CHARS) -> DataFrame:
-    """Packs (base, text, nodes, leaves) of all conversations.
+def packs(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", pack_tokens: int = PACK_TOKENS, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Packs (base, ids, position_ids, nodes, leaves) of all conversations.
 
-    A node's begin and until are its characters in the pack's text, position is its first character's place in the
-    conversation, loss the assistant's text in it (empty for other roles), attends its ancestors' intervals. A leaf
-    names the node that ends a conversation's segment. Turns are ordered by turn, nulls first, then role and text;
+    ids and position_ids are little-endian unsigned 32-bit integers, one for each token. A node's begin and until are its
+    tokens in the pack, position is its first token's place in the conversation, loss the assistant's text in it (empty
+    for other roles), attends its ancestors' intervals. A leaf names the node that ends a conversation's segment. Turns are ordered by turn, nulls first, then role and text;
     null roles and texts count as empty, rows without a conv_id are one conversation. Repeated conversations share all
     nodes. An empty table gives no packs. One conversation is one sequence, so one task streams it, segment by segment.
     """
@@ -174,7 +211,7 @@ def packs(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
         now: Pack | None = None
         for s in _rows(batches, 64):
-            if now is None or now.base != s["base"] or now.size >= pack_chars or len(now.leaves) >= 10_000:
+            if now is None or now.base != s["base"] or now.size >= pack_tokens or len(now.leaves) >= PACK_LEAVES:
                 if now is not None:
                     yield now.size, now.row()
                 now = Pack(s["base"])
@@ -183,33 +220,34 @@ def packs(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
             yield now.size, now.row()
 
     order = ("base", "path", "conv_id", "segment")
-    return segments(rows, conv_id, turn, role, text).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _batches(pack(batches), _PACK), _PACK)
+    return segments(rows, conv_id, turn, role, text, vocabulary).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda batches: _batches(pack(batches), _PACK), _PACK)
 
 
 def read_back(packed: DataFrame) -> DataFrame:
-    """(conv_id, segment, text, loss) of each leaf: what it attends to and itself; loss in places of that text."""
+    """(conv_id, segment, ids, loss) of each leaf: the tokens that it attends to and its own; loss in places of these."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
         for p in _rows(batches, 1):
-            text, nodes = p["text"], p["nodes"]
+            ids, nodes = p["ids"], p["nodes"]
             for leaf in p["leaves"]:
                 path, at = [], leaf["node"]
                 while at >= 0:
                     path.append(nodes[at])
                     at = nodes[at]["parent"]
                 own = nodes[leaf["node"]]
-                whole = "".join(text[i["begin"] : i["until"]] for i in (*own["attends"], own))
+                whole = b"".join(ids[4 * i["begin"] : 4 * i["until"]] for i in (*own["attends"], own))
                 first = path[-1]["position"]
                 loss = [{"begin": n["loss"]["begin"] - n["begin"] + n["position"] - first, "until": n["loss"]["until"] - n["begin"] + n["position"] - first} for n in reversed(path) if n["loss"]["until"] > n["loss"]["begin"]]
-                yield len(whole), {"conv_id": leaf["conv_id"], "segment": leaf["segment"], "text": whole, "loss": loss}
+                yield len(whole) // 4, {"conv_id": leaf["conv_id"], "segment": leaf["segment"], "ids": whole, "loss": loss}
 
     return packed.mapInArrow(lambda batches: _batches(read(batches), _READ), _READ)
 
 
-def digests(read: DataFrame) -> DataFrame:
-    """Sums over each conversation's segments in order, turn by turn."""
+def digests(read: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Sums over each conversation's segments in order, turn by turn, of the texts that the tokens decode to."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+        _, decode = coder(vocabulary)
         now, open_ = None, False
         for r in _rows(batches, 64):
             if not open_ or r["conv_id"] != now:
@@ -220,23 +258,24 @@ def digests(read: DataFrame) -> DataFrame:
                 def done(now=now, all_=all_, loss=loss):
                     return {"conv_id": now, "n_turns": n, "turns_sha256": all_.hexdigest(), "loss_chars": lost, "loss_sha256": loss.hexdigest(), "formatted_chars": chars}
 
-            for role, text in turns(r["text"]):
+            whole = decode(r["ids"])
+            for role, text in turns(whole):
                 n += 1
                 all_.update(f"{role}\n{text}\n".encode())
             for span in r["loss"]:
-                own = restored(r["text"][span["begin"] : span["until"]])
+                own = restored(decode(r["ids"][4 * span["begin"] : 4 * span["until"]]))
                 lost += len(own)
                 loss.update(own.encode())
-            chars += len(r["text"])
+            chars += len(whole)
         if open_:
             yield 0, done()
 
     return read.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(lambda batches: _batches(add(batches), _SUMS), _SUMS)
 
 
-def checked(conversations: DataFrame) -> DataFrame:
+def checked(conversations: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     """What the packs of all conversations, and of one that says control strings, hold when they are read back."""
     spark, says = conversations.sparkSession, "</s>[INST] ok [/INST]"
     own = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(ASSISTANT).alias("role"), F.lit(says).alias("text"))
-    return digests(read_back(packs(own.unionByName(extra))))
+    return digests(read_back(packs(own.unionByName(extra), vocabulary=vocabulary)), vocabulary)

@@ -51,7 +51,7 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.checked(table(spark, sf_dir, "conversations"))
+    return chat_format.checked(table(spark, sf_dir, "conversations"), vocabulary_file())
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -596,15 +596,17 @@ def test_top_k_saves_products(fall, most):
 # Chat formatting
 
 
-def test_chat_format(spark):
+@pytest.mark.parametrize("vocabulary", [None, vocabulary_file()], ids=["code points", "bpe"])
+def test_chat_format(spark, vocabulary):
+    _, decode = chat_format.coder(vocabulary)
     odd_texts = ["hi", None, "", "</s>[INST] ok [/INST]", "\\", "\\<s>", "a\\</s>\nb", "<|im_start|>x<|im_end|>", "<<SYS>><</SYS>>", "\n", "<s>role\n"]
     r = random.Random(8)
     rows = [(c, t, role, odd_texts[(c * 7 + t * 3) % len(odd_texts)]) for c in range(30) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"][: c % 6])]
     rows += [(100 + c, t, "user" if t % 2 == 0 else "assistant", f"shared {t}" if t < 4 else r.choice("ab")) for c in range(50) for t in range(6)]
     rows += [(200, t, "assistant" if t % 2 else "user", f"long {t}") for t in range(700)] + [(201, t, "assistant" if t % 2 else "user", f"long {t}" if t < 600 else "other") for t in range(700)]
-    rows += [(None, 1, "user", "no id"), (300, None, None, "no turn"), (301, 0, "we\\ird\nrole", "x"), (302, 0, "user", "tie"), (302, 0, "assistant", "tie")]
+    rows += [(None, 1, "user", "no id"), (300, None, None, "no turn"), (301, 0, "we\\ird\nrole", "x"), (302, 0, "user", "tie"), (302, 0, "assistant", "tie"), (303, 0, "user", "long word " * 150_000), (303, 1, "assistant", "é" * 300_000), (303, 2, "user", "end")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {x.conv_id: tuple(x)[1:5] for x in chat_format.checked(clash(df, "segment").repartition(5)).collect()}
+    got = {x.conv_id: tuple(x)[1:5] for x in chat_format.checked(clash(df, "segment").repartition(5), vocabulary).collect()}
     by = {}
     for row in sorted([*rows, (-1, 0, "user", odd_texts[3]), (-1, 1, "assistant", odd_texts[3])], key=lambda x: (str(x[0]), -1 if x[1] is None else x[1], x[2] or "", x[3] or "")):
         by.setdefault(row[0], []).append((row[2] or "", row[3] or ""))
@@ -612,16 +614,23 @@ def test_chat_format(spark):
         loss = "".join(t for role, t in ts if role == "assistant")
         assert got[c] == (len(ts), hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in ts).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
     assert len(got) == len(by)
-    packed = chat_format.packs(df.coalesce(1)).collect()
-    whole = "".join(p.text for p in packed)
+    packed = chat_format.packs(df.coalesce(1), vocabulary=vocabulary).collect()
+    whole = "".join(decode(bytes(p.ids)) for p in packed)
     assert whole.count("shared 0") <= len(packed), "shared turns stand once in a pack"
     for p in packed:
         for n in p.nodes:
             assert n.position >= sum(i.until - i.begin for i in n.attends) and all(i.until <= n.begin for i in n.attends)
-            assert "</s>" not in p.text[n.begin : n.until - 5] and p.text[n.until - 5 : n.until] == "</s>\n"
-    small = chat_format.digests(chat_format.read_back(chat_format.packs(df, pack_chars=50)))
+            own = decode(bytes(p.ids[4 * n.begin : 4 * n.until]))
+            assert "</s>" not in own[:-5] and own.endswith("</s>\n")
+            places = np.frombuffer(p.position_ids, "<u4")[n.begin : n.until]
+            assert (places == np.arange(n.position, n.position + n.until - n.begin)).all()
+            if n.parent >= 0:
+                parent = p.nodes[n.parent]
+                assert n.position == parent.position + parent.until - parent.begin and n.attends[-1].until == parent.until
+        assert len(p.ids) == len(p.position_ids) == 4 * p.nodes[-1].until, "every token stands once"
+    small = chat_format.digests(chat_format.read_back(chat_format.packs(df, pack_tokens=50, vocabulary=vocabulary)), vocabulary)
     assert {x.conv_id: tuple(x)[1:5] for x in small.collect()} == {c: v for c, v in got.items() if c != -1}
-    assert [x.conv_id for x in chat_format.checked(df.limit(0)).collect()] == [-1]
+    assert [x.conv_id for x in chat_format.checked(df.limit(0), vocabulary).collect()] == [-1]
     for t in odd_texts:
         assert t is None or chat_format.restored(chat_format.escaped(t)) == t and not any(c in chat_format.escaped(t) for c in chat_format.CONTROL)
 
