@@ -32,8 +32,10 @@ from .common import given_back, named
 #: Control strings of this template and of other common ones.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 ASSISTANT = "assistant"
-#: Turns and tokens after which a conversation's segment ends, and tokens and leaves after which a pack does.
-SEGMENT_TURNS, SEGMENT_TOKENS, PACK_TOKENS, PACK_LEAVES = 256, 1 << 18, 1 << 18, 10_000
+#: How an assistant's formatted turn begins, and no other one.
+_SPOKEN = f"<s>{ASSISTANT}\n"
+#: Turns and characters after which a conversation's segment ends, and tokens and leaves after which a pack does.
+SEGMENT_TURNS, SEGMENT_CHARS, PACK_TOKENS, PACK_LEAVES = 256, 1 << 20, 1 << 18, 10_000
 _DIGEST = 16
 
 
@@ -68,7 +70,7 @@ def turns(text: str) -> Iterator[tuple[str, str]]:
 
 
 _SPAN = T.StructType([T.StructField("begin", T.LongType()), T.StructField("until", T.LongType())])
-_TURN = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("begin", T.LongType()), T.StructField("until", T.LongType())])
+_TURN = T.StructType([T.StructField("text", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("until", T.LongType())])
 _SEGMENT = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("base", T.BinaryType()), T.StructField("path", T.BinaryType()), T.StructField("position", T.LongType()), T.StructField("turns", T.ArrayType(_TURN))])
 _NODE = T.StructType([T.StructField("parent", T.LongType()), T.StructField("begin", T.LongType()), T.StructField("until", T.LongType()), T.StructField("position", T.LongType()), T.StructField("loss", _SPAN), T.StructField("attends", T.ArrayType(_SPAN))])
 _LEAF = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("segment", T.LongType()), T.StructField("node", T.LongType())])
@@ -124,7 +126,10 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int = 256) -> Iterator[dict]:
 
 
 def segments(rows: DataFrame, conv_id: str, turn: str, role: str, text: str, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """Each conversation's formatted turns as tokens, in bounded segments, with digests of all turns up to each."""
+    """Each conversation's formatted turns, in bounded segments, with digests of all turns up to each.
+
+    Tokens are counted here only of segments that another one follows, for its position; they are made for the packs.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
         encode, _ = coder(vocabulary)
@@ -134,17 +139,15 @@ def segments(rows: DataFrame, conv_id: str, turn: str, role: str, text: str, voc
                 if open_:
                     yield size, _segment(now, k, base, path, position, held)
                 now, open_, k, base, path, position, held, size, ahead = r["conv_id"], True, 0, b"", [], 0, [], 0, 0
-            elif len(held) >= SEGMENT_TURNS or size >= SEGMENT_TOKENS:
+            elif len(held) >= SEGMENT_TURNS or size >= SEGMENT_CHARS:
                 yield size, _segment(now, k, base, path, position, held)
+                ahead += sum(sum(map(len, _encoded(encode, t))) // 4 for t in held)
                 k, base, path, position, held, size = k + 1, path[-1], [], ahead, [], 0
             whole, begin, until = formatted(r["role"] or "", r["text"] or "")
             before = path[-1] if path else base
             path.append(blake2b(before + b"\0" + whole.encode(), digest_size=_DIGEST).digest())
-            head, body, tail = encode(whole[:begin]), encode(whole[begin:until]), encode(whole[until:])
-            loss = (len(head) // 4, (len(head) + len(body)) // 4) if r["role"] == ASSISTANT else (0, 0)
-            held.append({"ids": head + body + tail, "begin": loss[0], "until": loss[1]})
-            n = _tokens(held[-1])
-            size, ahead = size + n, ahead + n
+            held.append({"text": whole, "begin": begin, "until": until})
+            size += len(whole)
         if open_:
             yield size, _segment(now, k, base, path, position, held)
 
@@ -156,14 +159,17 @@ def _segment(conv_id, k, base, path, position, held) -> dict:
     return {"conv_id": conv_id, "segment": k, "base": base, "path": b"".join(path), "position": position, "turns": held}
 
 
-def _tokens(turn: dict) -> int:
-    return len(turn["ids"]) // 4
+def _encoded(encode: Callable[[str], bytes], turn: dict) -> tuple[bytes, bytes, bytes]:
+    """The ids of what stands before a turn's text, of the text, and of what stands behind it."""
+    text, begin, until = turn["text"], turn["begin"], turn["until"]
+    return encode(text[:begin]), encode(text[begin:until]), encode(text[until:])
 
 
 class Pack:
-    """A tree of turns, written depth first."""
+    """A tree of turns, whose tokens are written depth first."""
 
-    def __init__(self, base: bytes):
+    def __init__(self, base: bytes, encode: Callable[[str], bytes]):
+        self.encode = encode
         self.base, self.ids, self.size, self.nodes, self.leaves = base, [], 0, [], []
         self.open: list[tuple[bytes, int]] = []  # digest and node of the turns on the path to the last one
 
@@ -173,15 +179,17 @@ class Pack:
         while shared < min(len(path), len(self.open)) and path[shared] == self.open[shared][0]:
             shared += 1
         del self.open[shared:]
-        position = s["position"] + sum(map(_tokens, s["turns"][:shared]))
         for digest, t in zip(path[shared:], s["turns"][shared:], strict=True):
             parent = self.open[-1][1] if self.open else -1
-            begin, until = self.size, self.size + _tokens(t)
-            loss = {"begin": begin + t["begin"], "until": begin + t["until"]}
-            self.nodes.append({"parent": parent, "begin": begin, "until": until, "position": position, "loss": loss, "attends": self._attends(parent)})
+            before = self.nodes[parent] if self.open else None
+            position = before["position"] + before["until"] - before["begin"] if before else s["position"]
+            head, body, tail = _encoded(self.encode, t)
+            begin, starts, ends = self.size, self.size + len(head) // 4, self.size + (len(head) + len(body)) // 4
+            self.size = ends + len(tail) // 4
+            loss = {"begin": starts, "until": ends} if t["text"].startswith(_SPOKEN) else {"begin": begin, "until": begin}
+            self.nodes.append({"parent": parent, "begin": begin, "until": self.size, "position": position, "loss": loss, "attends": self._attends(parent)})
             self.open.append((digest, len(self.nodes) - 1))
-            self.ids.append(t["ids"])
-            self.size, position = until, position + _tokens(t)
+            self.ids += (head, body, tail)
         self.leaves.append({"conv_id": s["conv_id"], "segment": s["segment"], "node": self.open[-1][1]})
 
     def _attends(self, parent: int) -> list[dict]:
@@ -209,12 +217,13 @@ def packs(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: s
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict]]:
+        encode, _ = coder(vocabulary)
         now: Pack | None = None
         for s in _rows(batches, 64):
             if now is None or now.base != s["base"] or now.size >= pack_tokens or len(now.leaves) >= PACK_LEAVES:
                 if now is not None:
                     yield now.size, now.row()
-                now = Pack(s["base"])
+                now = Pack(s["base"], encode)
             now.add(s)
         if now is not None:
             yield now.size, now.row()
