@@ -4,8 +4,10 @@ Documents are near-duplicates if their sets of five-word shingles have a similar
 documents too; the one with the smallest id of each group stays. A first pass, by the SimHash operator's BK-trees, links
 texts to near ones cheaply, so that large groups of copies are known before pairs are counted. At a similarity of 0.8
 fingerprints differ in about 10 of 64 bits, so this pass can't be whole. The second pass is: texts share a bucket if a
-band of MinHashes of their shingles is equal, and of each bucket every pair of texts is either verified on all shingles,
-is ruled out by an exact bound of its similarity, or lies between texts that verified pairs have linked already.
+band of MinHashes of their shingles is equal. Of each bucket every pair of texts is looked at that isn't linked yet, and
+those that an exact bound of the similarity doesn't rule out are joined to clusters. So each bucket gives at most as many
+rows as it has texts, and any near-duplicates that aren't linked yet are in one cluster. Each text is in one cluster
+only, with all its shingles; there all pairs are decided exactly, and again only the links that join something are rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, free_name, map_slices, materialize, on_split_key, raw
+from .common import discard, free_name, given_back, map_slices, materialize, on_split_key, raw
 from .components import components
 from .simhash import RADIUS, SEED, BkTree, _groups, fingerprint, shard_pairs, shards, shingle_words
 
@@ -27,12 +29,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands of ROWS MinHashes. Texts of similarity 0.8 share no band in 7 of 10^10 cases, whatever the edit between them.
 BANDS, ROWS = 40, 4
-#: Pairs that a bucket proposes for each of its texts in the first round; in each further one GROWTH times as many.
-PAIRS, GROWTH = 4, 4
 #: Longs of a text's parities: bits that say of which hashes modulo 64 * PARITIES its shingles have an odd number.
 PARITIES = 4
 #: Buckets of more texts are dealt over several tasks.
 CHUNK = 20_000
+#: Shingles of a block of a cluster, a text counting as TEXT more; larger clusters are blocks, each pair of which is a
+#: task's unit. Longs of the parities that are taken of a unit's texts.
+BLOCK, TEXT, FINER = 1 << 20, 100, 32
 #: What is known of a text wherever it goes: its number of shingles and its parities.
 FACTS = ["size", *(f"p{i}" for i in range(PARITIES))]
 #: Rows of a checked size up to which a list of texts or documents is broadcast (about 60 bytes each).
@@ -99,9 +102,9 @@ class Bands:
         return out.view(np.int64)
 
 
-def parities(h: np.ndarray) -> np.ndarray:
+def parities(h: np.ndarray, longs: int = PARITIES) -> np.ndarray:
     """Two sets of distinct hashes differ in as many as their parities have different bits, or in more."""
-    odd = np.bincount((h % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+    odd = np.bincount((h % np.uint64(64 * longs)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
@@ -209,12 +212,42 @@ def _dealt(members: DataFrame, most: int, chunk: int = CHUNK) -> DataFrame:
     return out.select(*members.columns, "part", "home", F.coalesce("major", F.lit(-1).cast("long")).alias("major"))
 
 
-def _bucketed(members: DataFrame, similarity: float, pairs: int, most: int = 0, chunk: int = CHUNK) -> DataFrame:
+def _possible(size: np.ndarray, bits: np.ndarray, c: int, like: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of the sets `like` that sizes and parities allow to be similar enough to set c."""
+    both = size[like] + size[c]
+    most = np.minimum((both - np.bitwise_count(bits[like] ^ bits[c]).sum(1, dtype=np.int64)) // 2, np.minimum(size[like], size[c]))
+    return like[most * (1 + similarity) >= similarity * both - 1e-6]
+
+
+def _forest(size: np.ndarray, bits: np.ndarray, root: np.ndarray, home: np.ndarray, top: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Texts, each with further ones that it reaches first by a possible pair of two roots; no text is reached twice."""
+    unseen, others = np.ones(len(root), bool), np.flatnonzero(root != top)
+    for start in others.tolist():  # a pair of two roots has an end outside of top
+        todo = [start] if unseen[start] else []
+        unseen[start] = False
+        while todo:
+            c = todo.pop()
+            if root[c] == top:
+                like = others = others[unseen[others]]
+            else:
+                like = np.flatnonzero(unseen & (root != root[c]))
+            if not home[c]:
+                like = like[home[like]]
+            like = _possible(size, bits, c, like, similarity)
+            if len(like):
+                unseen[like] = False
+                todo += like.tolist()
+                yield c, like
+
+
+def _bucketed(members: DataFrame, similarity: float, pairs: int | None = None, most: int = 0, chunk: int = CHUNK) -> DataFrame:
     """(key, u, v): with a null key, pairs of texts to compare; else texts u of buckets that have more of them.
 
     members: key, n, root, rows, FACTS. Pairs of one root need no look, nor do those whose sizes and parities rule the
-    similarity out. One after another, texts outside a bucket's largest group are paired with all others and leave it,
-    until it has `pairs` for each of its rows; a bucket ends when what is left of it is of one root.
+    similarity out. Without `pairs`, only as many of the others are returned as connect all texts that they connect:
+    fewer than the bucket has texts, at once. With it, all are returned, in rounds: one after another, texts outside a
+    bucket's largest group are paired with all others and leave it, until it has `pairs` for each of its rows; a bucket
+    ends when what is left of it is of one root.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +258,20 @@ def _bucketed(members: DataFrame, similarity: float, pairs: int, most: int = 0,
                 kinds, counts = np.unique(root, return_counts=True)
                 top = kinds[counts.argmax()]
             bits, left, found = np.stack(bits, 1).view(np.uint64), home.copy(), 0
+            if pairs is None:
+                for c, like in _forest(size, bits, root, home, top, similarity):
+                    out.append((np.zeros(len(like), bool), np.zeros(len(like), np.int64), np.minimum(n[like], n[c]), np.maximum(n[like], n[c])))
+                    held += len(like)
+                if held > 1 << 16:
+                    yield made(out)
+                    out, held = [], 0
+                continue
             todo = np.flatnonzero(root != top).tolist()
             for k, c in enumerate(todo):
                 if found >= pairs * len(n):
                     break
                 left[c] = False
-                like = np.flatnonzero(left & (root != root[c]))
-                both = size[like] + size[c]
-                most = np.minimum((both - np.bitwise_count(bits[like] ^ bits[c]).sum(1, dtype=np.int64)) // 2, np.minimum(size[like], size[c]))
-                like = like[most * (1 + similarity) >= similarity * both - 1e-6]
+                like = _possible(size, bits, c, np.flatnonzero(left & (root != root[c])), similarity)
                 if len(like):
                     out.append((np.zeros(len(like), bool), np.zeros(len(like), np.int64), np.minimum(n[like], n[c]), np.maximum(n[like], n[c])))
                     found += len(like)
@@ -258,6 +296,89 @@ def _bucketed(members: DataFrame, similarity: float, pairs: int, most: int = 0,
     return dealt.select("key", "part", "n", "root", *FACTS, "home", "major").mapInArrow(run, "key long, u long, v long")
 
 
+def similar(sets: np.ndarray, ends: np.ndarray, root: np.ndarray, part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets that are similar enough, as few as join all that such pairs and equal roots join.
+
+    sets: the sets' distinct hashes, one set after another; ends: where each of them ends. If there are sets of two
+    parts, only pairs of both are looked at. Similar sets share one of their rarest items (as many as a similar set may
+    lack, and one more); of the pairs that do, those are counted that sizes and parities allow.
+    """
+    size = np.diff(ends, prepend=0)
+    at, across = ends - size, len(np.unique(part)) > 1
+    bits = np.stack([parities(sets[a:b], FINER).view(np.uint64) for a, b in zip(at.tolist(), ends.tolist(), strict=True)])
+    _, items, often = np.unique(sets, return_inverse=True, return_counts=True)
+    rarity = np.empty(len(often), np.int64)
+    rarity[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner, items = np.repeat(np.arange(len(size)), size), rarity[items]
+    items = items[np.lexsort((items, owner))]
+    rare = np.minimum(size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1, size)
+    led = np.flatnonzero(np.arange(len(items)) - at[owner] < rare[owner])
+    led = led[np.argsort(items[led], kind="stable")]
+    first, having = np.searchsorted(items[led], np.arange(len(often) + 1)), owner[led]
+    kinds, label, counts = np.unique(root, return_inverse=True, return_counts=True)
+    todo = label != counts.argmax()  # a pair of two roots has an end among these
+    mine, u, v = np.zeros(len(often), bool), [], []
+
+    def join(c: int, like: np.ndarray) -> None:
+        labels, of = np.unique(label[like], return_index=True)
+        u.extend([c] * len(of))
+        v.extend(like[of].tolist())
+        label[np.isin(label, labels)] = label[c]
+
+    none = np.flatnonzero(size == 0)
+    if len(none):
+        join(none[0], none[label[none] != label[none[0]]])
+    for c in np.flatnonzero(todo & (size > 0)).tolist():
+        own = items[at[c] : ends[c]]
+        lists = [having[a:b] for a, b in zip(first[own[: rare[c]]].tolist(), first[own[: rare[c]] + 1].tolist(), strict=True) if b - a > 1]
+        if not lists:
+            continue
+        like = np.unique(np.concatenate(lists))
+        like = like[label[like] != label[c]]
+        if across:
+            like = like[part[like] != part[c]]
+        like = _possible(size, bits, c, like, similarity)
+        if not len(like):
+            continue
+        mine[own] = True
+        to = np.cumsum(size[like])
+        common = np.add.reduceat(mine[items[np.arange(to[-1]) + np.repeat(at[like] - (to - size[like]), size[like])]], to - size[like], dtype=np.int64)
+        mine[own] = False
+        like = like[common * (1 + similarity) >= similarity * (size[like] + size[c]) - 1e-6]
+        if len(like):
+            join(c, like)
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _links(clustered: DataFrame, sets: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(u, v): links of similar texts of one cluster, as few as join all that are joined; every pair is looked at.
+
+    clustered: n, cluster, root, size. sets: n, h. Texts of one root are joined already. A cluster of more than a block
+    is blocks, and each pair of them is a unit of its own, so that a task's memory is bounded.
+    """
+    sums = clustered.groupBy("cluster").agg(F.ceil(F.sum(F.col("size") + TEXT) / block).cast("long").alias("blocks"))
+    dealt = on_split_key(clustered, sums, "cluster").withColumn("part", F.pmod(F.xxhash64("n"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("unit", F.least("part", "other") * F.col("blocks") + F.greatest("part", "other"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for _, _, n, root, part, h in _groups(batches, 5):
+                if (root == root[0]).all():
+                    continue
+                ends = np.cumsum(h.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+                i, j = similar(h.flatten().to_numpy().view(np.uint64), ends, root, part, similarity)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(n[j])], names=["u", "v"])
+        finally:
+            n = root = part = h = ends = None
+            given_back()
+
+    rows = dealt.select("cluster", "unit", "n", "root", "part").join(sets, "n")
+    rows = rows.repartition("cluster", "unit").sortWithinPartitions("cluster", "unit", "n")
+    return rows.select("cluster", "unit", "n", "root", "part", "h").mapInArrow(run, "u long, v long")
+
+
 def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, t (the text's identity), kept_id, kept_t of each row: the row of its group that stays.
 
@@ -272,24 +393,19 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity
     compared = materialize(_proposed(texts, radius))
     sets = _shingles(df, text, texts, _ends(compared))
     roots = components(_verified(compared, sets, similarity))
-    # ... then, in each bucket, all those whose ends these haven't linked.
-    rooted, pairs = texts.select("n", "keys"), PAIRS
-    while True:
-        rooted = rooted.join(roots.withColumnRenamed("node", "n"), "n", "left")
-        members = _members(rooted.select(F.explode("keys").alias("key"), "n", F.coalesce("root", "n").alias("root")))
-        facts = members.join(texts.select("n", *FACTS), "n")
-        out = materialize(_bucketed(facts, similarity, pairs, members.seen["most"] or 0), left=F.count("key"))
-        discard(members)
-        open_ = out.filter(F.col("key").isNull()).select("u", "v").distinct().join(compared, ["u", "v"], "left_anti")
-        open_ = materialize(open_, rows=F.count(F.lit(1)))
-        if open_.seen["rows"]:
-            sets = sets.unionByName(_shingles(df, text, texts, _ends(open_).join(sets.select("n"), "n", "left_anti")))
-            found = _verified(open_, sets, similarity)
-            roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
-            compared = compared.unionByName(open_)
-        if not out.seen["left"]:
-            break
-        rooted, pairs = out.filter(F.col("key").isNotNull()).select(F.col("u").alias("n"), F.array("key").alias("keys")).distinct(), pairs * GROWTH
+    # ... then all those of a bucket whose ends these haven't linked, in clusters of possible pairs.
+    rooted = texts.select("n", "keys").join(roots.withColumnRenamed("node", "n"), "n", "left")
+    members = _members(rooted.select(F.explode("keys").alias("key"), "n", F.coalesce("root", "n").alias("root")))
+    facts = members.join(texts.select("n", *FACTS), "n")
+    possible = materialize(_bucketed(facts, similarity, most=members.seen["most"] or 0).select("u", "v").distinct(), rows=F.count(F.lit(1)))
+    discard(members)
+    if possible.seen["rows"]:
+        of = components(possible).select(F.col("node").alias("n"), F.col("root").alias("cluster"))
+        of = of.join(texts.select("n", "size"), "n").join(roots.withColumnRenamed("node", "n"), "n", "left")
+        clustered = materialize(of.select("n", "cluster", F.coalesce("root", "n").alias("root"), "size"))
+        sets = sets.unionByName(_shingles(df, text, texts, clustered.select("n").join(sets.select("n"), "n", "left_anti")))
+        found = _links(clustered, sets, similarity)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found))
     labels = texts.select("t", "n", "least").join(roots.withColumnRenamed("node", "n"), "n", "left")
     labels = materialize(labels.select("t", "least", F.coalesce("root", "n").alias("root")))
     kept = labels.groupBy("root").agg(F.min("least").alias("kept"))

@@ -536,6 +536,55 @@ def test_near_dedup_compares_all_of_a_bucket(spark):
         assert np.bitwise_count((simhash_dedup.parities(a) ^ simhash_dedup.parities(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
 
 
+def joined(n, pairs, root):
+    """The least member of each one's group, which pairs and equal roots make."""
+    group = [root.index(r) for r in root]
+    for a, b in pairs:
+        a, b = sorted((group[a], group[b]))
+        group = [a if x == b else x for x in group]
+    return group
+
+
+def test_near_dedup_rows_grow_with_a_bucket(spark):
+    """A bucket of texts that may all be similar gives fewer rows than it has, not one for each pair, and joins them all."""
+    columns = "key long, n long, root long, rows long, " + ", ".join(f"{c} long" for c in simhash_dedup.FACTS)
+    for n in (40, 200):
+        root = [0] * (n // 4) + list(range(n // 4, n))
+        size = [100 if i % 3 else 50 for i in range(n)]
+        rows = [(k, i, root[i], n, size[i], 0, 0, 0, 0) for k in (7, 8) for i in range(n)]
+        possible = [(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and size[i] == size[j]]
+        for chunk in (1000, 50):
+            out = [(x.key, x.u, x.v) for x in simhash_dedup._bucketed(spark.createDataFrame(rows, columns), 0.8, most=n, chunk=chunk).collect()]
+            assert all(k is None and u < v for k, u, v in out) and {(u, v) for _, u, v in out} <= set(possible)
+            assert joined(n, [(u, v) for _, u, v in out], list(range(n))) == joined(n, possible, list(range(n)))
+            assert len(out) < 2 * n * -(-n // chunk)
+
+
+def test_near_dedup_decides_all_pairs_of_a_cluster(spark):
+    """Links join what all pairs of a similarity of 0.8 or more join, in one unit and in blocks; none is superfluous."""
+    r = random.Random(6)
+    sets = [set() for _ in range(3)]
+    for _ in range(25):
+        sets.append({r.getrandbits(64) for _ in range(r.choice((1, 4, 5, 60, 700)))})
+        for _ in range(r.randrange(8)):  # copies of copies, about as far apart as the limit
+            x = sorted(sets[-1])
+            gone = set(r.sample(x, int(len(x) * r.choice((0.05, 0.1, 0.11, 0.12, 0.2)))))
+            sets.append(set(x) - gone | {r.getrandbits(64) for _ in range(r.choice((0, len(gone))))})
+    for x in sets[3:]:
+        x.add(1)  # one that all have
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = [i if r.random() < 0.8 else r.randrange(n) for i in range(n)]
+    want = joined(n, pairs, root)
+    assert len(set(joined(n, pairs, list(range(n))))) < n - 40
+    given = spark.createDataFrame([(i, 9, root[i], len(x)) for i, x in enumerate(sets)], "n long, cluster long, root long, size long")
+    shingles = spark.createDataFrame([(i, sorted(h - (h >> 63 << 64) for h in x)) for i, x in enumerate(sets)], "n long, h array<long>")
+    for block in (1 << 20, 4000):
+        out = [(x.u, x.v) for x in simhash_dedup._links(given, shingles, 0.8, block).collect()]
+        assert {tuple(sorted(x)) for x in out} <= set(pairs) and joined(n, out, root) == want
+        assert len(out) == len(set(root)) - len(set(want)) or block < 1 << 20
+
+
 # Exact top-k
 
 
